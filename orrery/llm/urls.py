@@ -20,7 +20,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Fixed values of the small labelled table: words of unwanted and of wanted hosts.
 UNWANTED = ("casino", "casino-win", "bets", "free-bets", "poker", "slots", "pills", "cheap-pills", "viagra", "adult", "adult-x", "xxx", "porn", "spam", "spam-farm", "ads", "ads-track", "tracker", "malware", "warez", "click-bait", "payday-loan")
-WANTED = ("news", "library", "docs", "museum", "university", "weather", "garden", "history", "science", "recipes", "city", "school", "music", "travel", "health", "wiki", "forum", "sports", "theater", "station", "thorn", "nation")
+WANTED = ("news", "library", "docs", "museum", "university", "weather", "garden", "history", "science", "recipes", "city", "school", "music", "travel", "health", "wiki", "forum", "sports", "theater", "station", "thorn", "nation", "weathers", "other", "three", "thread", "method", "northern", "earth", "month", "truth", "theatre", "section", "motion")
 
 
 def labelled_urls() -> list[tuple[str, int]]:
