@@ -16,6 +16,7 @@ import pyarrow as pa
 import regex
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, DataType, IntegerType, LongType, StringType, StructType
 
 from .common import TwoGenerations, fresh, pieces_of, ship
 from .merging import RIGHT, merge
@@ -159,13 +160,13 @@ def encode(
     sent = spark.sparkContext.broadcast(tokens)
     key = hashlib.sha256(b"\n".join(tokens)).hexdigest()
     added = [pa.field("n_tokens", pa.int64())]
-    ddl = ["n_tokens long"]
+    ddl: list[tuple[str, DataType]] = [("n_tokens", LongType())]
     if with_ids:
         added.append(pa.field("ids", pa.list_(pa.int32())))
-        ddl.append("ids array<int>")
+        ddl.append(("ids", ArrayType(IntegerType())))
     if digests:
         added += [pa.field("ids_sha256", pa.string()), pa.field("decoded_sha256", pa.string())]
-        ddl += ["ids_sha256 string", "decoded_sha256 string"]
+        ddl += [("ids_sha256", StringType()), ("decoded_sha256", StringType())]
     names = [f.name for f in added]
     kept = [c for c in docs.columns if c.lower() not in names]
     source = docs.select(*[docs[c] for c in kept]) if text in kept else docs.select(*kept, docs[text].alias(fresh(docs, "_text")))
@@ -195,11 +196,8 @@ def encode(
                     out += [pa.array(hashed, pa.string()), pa.array(back, pa.string())]
                 yield pa.RecordBatch.from_arrays(out, [*kept, *names])
 
-    from pyspark.sql.types import StructType
-
     schema = StructType([source.schema[c] for c in kept])
-    for part in ddl:
-        name, _, kind = part.partition(" ")
+    for name, kind in ddl:
         schema = schema.add(name, kind)
     return source.mapInArrow(run, schema)
 
@@ -217,6 +215,4 @@ def decode(rows: DataFrame, ranks: str, *, ids: str = "ids") -> DataFrame:
             out = [None if v.as_py() is None else b"".join(tokens[i] for i in v.as_py()) for v in batch.column(ids)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(out, pa.binary())], [*kept, "decoded"])
 
-    from pyspark.sql.types import StructType
-
     return rows.mapInArrow(run, StructType([rows.schema[c] for c in kept]).add("decoded", "binary"))
