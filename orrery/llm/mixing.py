@@ -40,10 +40,10 @@ def targets(sizes: DataFrame, *, epochs: int = EPOCHS) -> DataFrame:
             "budget": F.sum("source_size").over(everything),
         }
     )
-    # The level is what is left when all sources capped before are full; the
-    # first source whose own cap lies above it, and all after it, are not capped.
+    # The level is what is left when all sources capped before are full. It rises
+    # up to the first source whose own cap lies above it, and falls after that.
     filled = filled.withColumn("level_here", (F.col("budget") - F.col("caps_before")) / F.col("weight_left"))
-    level = F.min(F.when(F.col("cap") > F.col("level_here") * F.col("weight"), F.col("level_here"))).over(everything)
+    level = F.max(F.when(F.col("cap") > F.col("level_here") * F.col("weight"), F.col("level_here"))).over(everything)
     filled = filled.withColumn("level", level)
     target = F.least(F.col("cap"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap")))
     return filled.select("source", "source_size", "weight", "budget", target.alias("target"))
