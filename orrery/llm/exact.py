@@ -13,8 +13,12 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, fresh, keyed
 
-#: The keyed state lives on disk, with checkpoints in the shared folder.
-PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: The keyed state lives on disk, with checkpoints in the shared folder; small partitions take no space ahead.
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def sha256(text: Column) -> Column:
@@ -84,9 +88,9 @@ def duplicates(
 def _through_state(narrow: DataFrame, scratch: Scratch) -> DataFrame:
     """The state after all rows: per digest the row that stays and the number of rows."""
     spark = narrow.sparkSession
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, PROVIDER)
+    before = {name: spark.conf.get(name, None) for name in STORE}
+    for name, value in STORE.items():
+        spark.conf.set(name, value)
     kept = F.max(F.struct("doc_id", "row")).alias("keep")
     stream = spark.readStream.schema(narrow.schema).parquet(scratch.path("digests"))
     state = stream.groupBy("digest").agg(kept, F.count("*").alias("rows"))
@@ -102,10 +106,11 @@ def _through_state(narrow: DataFrame, scratch: Scratch) -> DataFrame:
         )
         query.awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
     batches = query.lastProgress
     if batches is None:
         return spark.createDataFrame([], schema)
