@@ -57,6 +57,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.rows: list[tuple[DataFrame, DataFrame]] = []
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
@@ -97,7 +98,12 @@ def keyed(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, str]:
     except Exception as error:
         if "_metadata" not in str(error):
             raise
-    return scratch.table(docs, "rows").withColumn(name, where), name
+    for seen, written in scratch.rows:
+        if seen is docs:
+            return written.withColumn(name, where), name
+    written = scratch.table(docs, f"rows-{len(scratch.rows)}")
+    scratch.rows.append((docs, written))
+    return written.withColumn(name, where), name
 
 
 def _straight_from_files(docs: DataFrame) -> bool:
