@@ -58,7 +58,7 @@ class PerfectHash:
                 break
             d = 0
             while True:
-                places = [(high + d * step) % n for high, step, _ in members]
+                places = [self._slot(high, step, d) for high, step, _ in members]
                 if all(slots[p] < 0 for p in places) and len(set(places)) == len(places):
                     break
                 d += 1
@@ -71,12 +71,16 @@ class PerfectHash:
         h = xxhash.xxh3_128_intdigest(key)
         return h & 0xFFFFFFFFFFFFFFFF, h >> 64
 
+    def _slot(self, high: int, step: int, d: int) -> int:
+        """A place that depends on ``d`` as if at random, so every key finds a free one whatever divides n."""
+        return (((high + d * step) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> 32) * self.n >> 32
+
     def get(self, key: bytes) -> int:
         """The key's index, or -1."""
         if not self.n:
             return -1
         low, high = self._halves(key)
-        i = self.slots[(high + self.displacement[low % self.m] * (low >> 32 | 1)) % self.n]
+        i = self.slots[self._slot(high, low >> 32 | 1, self.displacement[low % self.m])]
         return i if self.keys[i] == key else -1
 
 
