@@ -12,6 +12,7 @@ import hashlib
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
@@ -39,7 +40,14 @@ def read_ranks(path: str) -> list[bytes]:
 
 
 class PerfectHash:
-    """A minimal perfect hash by displacement: n keys in exactly n slots, one probe a lookup."""
+    """A minimal perfect hash by displacement: n keys in exactly n slots, one probe a lookup.
+
+    Buckets are placed in descending size; a bucket of one key is sent straight
+    to a free slot, written as the complement of the slot's number.
+    """
+
+    #: Displacements tried at once.
+    BLOCK = 256
 
     def __init__(self, keys: list[bytes], per_bucket: int = 4):
         n = self.n = len(keys)
@@ -51,20 +59,36 @@ class PerfectHash:
         for i, key in enumerate(keys):
             low, high = self._halves(key)
             buckets[low % m].append((high, low >> 32 | 1, i))
-        slots = self.slots
-        for b in sorted(range(m), key=lambda b: -len(buckets[b])):
+        free = np.ones(n, bool)
+        order = sorted(range(m), key=lambda b: -len(buckets[b]))
+        for b in order:
             members = buckets[b]
-            if not members:
+            if len(members) < 2:
                 break
-            d = 0
+            high = np.array([[h] for h, _, _ in members], np.uint64)
+            step = np.array([[s] for _, s, _ in members], np.uint64)
+            start = 0
             while True:
-                places = [self._slot(high, step, d) for high, step, _ in members]
-                if all(slots[p] < 0 for p in places) and len(set(places)) == len(places):
+                tried = np.arange(start, start + self.BLOCK, dtype=np.uint64)
+                places = (high + tried * step) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)
+                places = (places * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+                good = free[places].all(axis=0)
+                ranked = np.sort(places, axis=0)
+                good &= (ranked[1:] != ranked[:-1]).all(axis=0)
+                if good.any():
                     break
-                d += 1
-            self.displacement[b] = d
-            for p, (_, _, i) in zip(places, members, strict=True):
-                slots[p] = i
+                start += self.BLOCK
+            at = int(good.argmax())
+            self.displacement[b] = start + at
+            for p, (_, _, i) in zip(places[:, at].tolist(), members, strict=True):
+                self.slots[p] = i
+                free[p] = False
+        left = iter(np.flatnonzero(free).tolist())
+        for b in order:
+            if len(buckets[b]) == 1:
+                p = next(left)
+                self.displacement[b] = ~p
+                self.slots[p] = buckets[b][0][2]
 
     @staticmethod
     def _halves(key: bytes) -> tuple[int, int]:
@@ -72,7 +96,9 @@ class PerfectHash:
         return h & 0xFFFFFFFFFFFFFFFF, h >> 64
 
     def _slot(self, high: int, step: int, d: int) -> int:
-        """A place that depends on ``d`` as if at random, so every key finds a free one whatever divides n."""
+        """A place that depends on ``d`` as if at random, so every bucket finds free ones whatever divides n."""
+        if d < 0:
+            return ~d
         return (((high + d * step) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> 32) * self.n >> 32
 
     def get(self, key: bytes) -> int:
@@ -84,21 +110,31 @@ class PerfectHash:
         return i if self.keys[i] == key else -1
 
 
-class ByteBpe:
-    """Encode and decode by one vocabulary. ``pattern`` splits a text into pre-tokens."""
+class Vocabulary:
+    """What all encoders of one vocabulary share; built once by the driver and broadcast."""
 
-    def __init__(self, tokens: list[bytes], pattern: str, memo: int = 200_000):
+    def __init__(self, tokens: list[bytes]):
+        self.key = hashlib.sha256(b"\n".join(tokens)).hexdigest()
         self.tokens = tokens
         self.whole = PerfectHash(tokens)
-        self.byte_ids = [self.whole.get(bytes([b])) for b in range(256)]
-        if min(self.byte_ids) < 0:
-            raise ValueError("the vocabulary lacks a single byte")
         self.pairs: dict[int, int] = {}
         for i, token in enumerate(tokens):
             for cut in range(1, len(token)):
                 left = self.whole.get(token[:cut])
                 if left >= 0 and (right := self.whole.get(token[cut:])) >= 0:
                     self.pairs[left << RIGHT | right] = i
+
+
+class ByteBpe:
+    """Encode and decode by one vocabulary. ``pattern`` splits a text into pre-tokens."""
+
+    def __init__(self, vocabulary: Vocabulary, pattern: str, memo: int = 200_000):
+        self.tokens = tokens = vocabulary.tokens
+        self.whole = vocabulary.whole
+        self.pairs = vocabulary.pairs
+        self.byte_ids = [self.whole.get(bytes([b])) for b in range(256)]
+        if min(self.byte_ids) < 0:
+            raise ValueError("the vocabulary lacks a single byte")
         self.rank = list(range(len(tokens)))
         self.decimal = [str(i) for i in range(len(tokens))]
         self.split = regex.compile(pattern).findall
@@ -127,14 +163,26 @@ class ByteBpe:
         return hashlib.sha256(" ".join(map(self.decimal.__getitem__, ids)).encode()).hexdigest()
 
 
+_vocabularies: dict[str, Vocabulary] = {}
 _encoders: dict[tuple[str, str], ByteBpe] = {}
 
 
-def encoder(raw_key: str, tokens: list[bytes], pattern: str) -> ByteBpe:
+def vocabulary(ranks: str) -> Vocabulary:
+    """The vocabulary of a rank file, built once per process."""
+    if ranks not in _vocabularies:
+        tokens = read_ranks(ranks)
+        if sum(map(len, tokens)) > 64 << 20:
+            raise ValueError("a vocabulary over 64 MB is not broadcast")
+        _vocabularies[ranks] = Vocabulary(tokens)
+    return _vocabularies[ranks]
+
+
+def encoder(found: Vocabulary, pattern: str) -> ByteBpe:
     """One encoder per process and vocabulary; a Python worker keeps it between tasks."""
-    if (raw_key, pattern) not in _encoders:
-        _encoders[raw_key, pattern] = ByteBpe(tokens, pattern)
-    return _encoders[raw_key, pattern]
+    at = found.key, pattern
+    if at not in _encoders:
+        _encoders[at] = ByteBpe(found, pattern)
+    return _encoders[at]
 
 
 def encode(
@@ -158,11 +206,7 @@ def encode(
     """
     spark = docs.sparkSession
     ship(spark)
-    tokens = read_ranks(ranks)
-    if sum(map(len, tokens)) > 64 << 20:
-        raise ValueError("a vocabulary over 64 MB is not broadcast")
-    sent = spark.sparkContext.broadcast(tokens)
-    key = hashlib.sha256(b"\n".join(tokens)).hexdigest()
+    sent = spark.sparkContext.broadcast(vocabulary(ranks))
     added = [pa.field("n_tokens", pa.int64())]
     ddl: list[tuple[str, DataType]] = [("n_tokens", LongType())]
     if with_ids:
@@ -177,7 +221,7 @@ def encode(
     column = text if text in kept else source.columns[-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(key, sent.value, pattern)
+        bpe = encoder(sent.value, pattern)
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
