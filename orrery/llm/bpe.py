@@ -8,6 +8,7 @@ bytes. Both results are kept in a bounded memo, since words repeat.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections.abc import Iterable, Iterator
 from itertools import chain
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, DataType, IntegerType, LongType, StringType, StructType
 
 from .common import TwoGenerations, fresh, pieces_of, ship
-from .merging import RIGHT, merge
+from .merging import RIGHT, merge, ranked
 
 #: A pre-token never holds white space after something else, so a text may be cut there.
 CUT = regex.compile(r"(?<=\S)(?=\s)")
@@ -123,19 +124,19 @@ class Vocabulary:
                 left = self.whole.get(token[:cut])
                 if left >= 0 and (right := self.whole.get(token[cut:])) >= 0:
                     self.pairs[left << RIGHT | right] = i
+        self.order = ranked(self.pairs, list(range(len(tokens))))
 
 
 class ByteBpe:
     """Encode and decode by one vocabulary. ``pattern`` splits a text into pre-tokens."""
 
-    def __init__(self, vocabulary: Vocabulary, pattern: str, memo: int = 200_000):
+    def __init__(self, vocabulary: Vocabulary, pattern: str, memo: int = 300_000):
         self.tokens = tokens = vocabulary.tokens
         self.whole = vocabulary.whole
-        self.pairs = vocabulary.pairs
+        self.pairs, self.order = vocabulary.pairs, vocabulary.order
         self.byte_ids = [self.whole.get(bytes([b])) for b in range(256)]
         if min(self.byte_ids) < 0:
             raise ValueError("the vocabulary lacks a single byte")
-        self.rank = list(range(len(tokens)))
         self.decimal = [str(i) for i in range(len(tokens))]
         self.split = regex.compile(pattern).findall
         self.memo = TwoGenerations(self._pre_token, memo)
@@ -146,7 +147,9 @@ class ByteBpe:
         if whole >= 0:
             return (whole,)
         by_byte = self.byte_ids
-        return tuple(merge([by_byte[b] for b in raw], self.pairs, self.rank))
+        symbols = [by_byte[b] for b in raw]
+        merge(symbols, self.pairs, self.order)
+        return tuple([s for s in symbols if s >= 0])
 
     def encode(self, text: str) -> list[int]:
         ids: list[int] = []
@@ -182,6 +185,7 @@ def encoder(found: Vocabulary, pattern: str) -> ByteBpe:
     at = found.key, pattern
     if at not in _encoders:
         _encoders[at] = ByteBpe(found, pattern)
+        gc.freeze()  # the tables stay as long as the worker; collections pass them over
     return _encoders[at]
 
 

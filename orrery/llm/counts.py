@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
 from .common import TwoGenerations, ship
-from .merging import RIGHT, merge
+from .merging import RIGHT, merge, ranked
 
 SPACE = "▁"
 #: Longer words are counted without being remembered.
@@ -40,16 +40,22 @@ class PieceCounter:
                 ids.setdefault(c, len(ids))
         self.ids = ids
         levels = {score: n for n, score in enumerate(sorted({score for _, score in pieces}, reverse=True))}
-        self.rank = [levels[score] for _, score in pieces]
+        rank = [levels[score] for _, score in pieces]
         self.pairs = {}
         for i, (piece, _) in enumerate(pieces):
             for cut in range(1, len(piece)):
                 left, right = ids.get(piece[:cut]), ids.get(piece[cut:])
                 if left is not None and right is not None:
                     self.pairs[left << RIGHT | right] = i
-        # No piece goes on with a space mark after something else, so words may be counted one by one.
-        self.apart = not any(a != SPACE and b == SPACE for piece, _ in pieces for a, b in zip(piece, piece[1:], strict=False))
-        self.split = regex.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
+        self.order = ranked(self.pairs, rank)
+        # Merges never cross a place whose two characters stand side by side in no piece, so a text may be cut there.
+        beside = {(a, b) for piece, _ in pieces for a, b in zip(piece, piece[1:], strict=False)}
+        self.apart = not any(a != SPACE and b == SPACE for a, b in beside)
+        letter = regex.compile(r"\p{L}").match
+        if any("\n" in both for both in beside) or any(letter(a) and not letter(b) for a, b in beside):
+            self.split = regex.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
+        else:  # cut around line ends, and after letters
+            self.split = regex.compile(rf"\n|{SPACE}*[^{SPACE}\n\p{{L}}]*\p{{L}}+|{SPACE}*[^{SPACE}\n\p{{L}}]+|{SPACE}+").findall
         self.memo = TwoGenerations(self._count, memo)
 
     def _count(self, word: str) -> int:
@@ -63,7 +69,7 @@ class PieceCounter:
             symbols.append(i)
         if len(symbols) == 1:
             return 1 + strange
-        return len(merge(symbols, self.pairs, self.rank)) + strange
+        return len(symbols) - merge(symbols, self.pairs, self.order) + strange
 
     def count(self, text: str) -> int:
         if not text:
