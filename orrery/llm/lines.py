@@ -69,7 +69,7 @@ def repeated_lines(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
+            for at in range(0, whole.num_rows, 256):
                 keys, places, owners, firsts = [], [], [], []
                 batch = whole.slice(at, 1024)
                 for i, value in enumerate(batch.column("norm").to_pylist()):
@@ -82,11 +82,11 @@ def repeated_lines(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
                 if keys:
                     owner = pa.array(np.concatenate(owners))
                     firsts = batch.column("first").take(owner)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(places)), batch.column("norm").take(owner), firsts], ["key", "place", "norm", "first"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(places)), batch.column("id").take(owner), firsts], ["key", "place", "id", "first"])
 
     first_type = distinct.schema["first"].dataType.simpleString()
-    keyed_lines = distinct.select("norm", "first").mapInArrow(run, f"key long, place int, norm string, first {first_type}")
-    slim = scratch.table(keyed_lines.select("key", "place", F.xxhash64("norm").alias("id"), "first"), "variants")
+    keyed_lines = distinct.select("norm", "id", "first").mapInArrow(run, f"key long, place int, id long, first {first_type}")
+    slim = scratch.table(keyed_lines, "variants")
     # Earliest line of each key and place, and per key of the whole and the cut lines.
     best = slim.groupBy("key", "place").agg(F.min(F.struct("first", "id")).alias("best"))
     best = scratch.table(best, "best")
