@@ -1,9 +1,10 @@
 """Personal data: fixed patterns, and a skip-chain conditional random field that adds what they miss.
 
 The field's nodes are a document's words that hold a digit or an at sign.
-Neighbouring nodes are linked, and so is each node to the last one before it,
-however far, that repeats it or is like it (the same digits); the latter links
-share one potential. Labels are passed around by loopy message passing.
+Neighbouring nodes are linked, whatever stands between, and so is each node to
+the last one before it, however far, that repeats it or is like it (the same
+digits). Each of the two ways has one potential; a pair linked both ways is one
+edge with their sum. Labels are passed around by loopy message passing.
 """
 
 from __future__ import annotations
@@ -85,9 +86,10 @@ class Graph:
         self.features: list[list[int]] = []
         self.chain: list[tuple[int, int]] = []
         self.skip: list[tuple[int, int]] = []
+        self.both: list[tuple[int, int]] = []
 
     def add(self, doc: int, text: str, base: list[tuple[int, int, int]]) -> None:
-        last, before_end = {}, None
+        last, first = {}, len(self.spans)
         covered = sorted((s, e, k) for k, s, e in base)
         c = 0
         for m in NODE.finditer(text):
@@ -106,21 +108,23 @@ class Graph:
             named = ("1", f"s{shape}", f"k{kind}", f"p{before[-1].lower() if before else ''}", f"n{after[0].lower() if after else ''}", f"d{count}", f"@{'@' in word}{word.count('.')}")
             self.features.append([crc32(f.encode()) % FEATURES for f in named])
             self.spans.append((doc, start, end))
-            if before_end is not None and start - before_end <= 2:
-                self.chain.append((i - 1, i))
-            before_end = end
             digits = _DIGITS.sub("", word)
             like = digits if len(digits) >= 7 else word.strip(".,;:!?()[]<>\"'").lower()
+            earlier = None
             if len(like) >= 5:
-                if like in last and last[like] != i - 1:
-                    self.skip.append((last[like], i))
+                earlier = last.get(like)
                 last[like] = i
+            if earlier is not None and earlier < i - 1:
+                self.skip.append((earlier, i))
+            if i > first:
+                (self.chain if earlier != i - 1 else self.both).append((i - 1, i))
 
 
 def beliefs(graph: Graph, p: dict, rounds: int = ROUNDS) -> tuple[np.ndarray, list]:
-    """Node marginals [n, labels], and for each kind of link its edges with their pair marginals."""
+    """Node marginals [n, labels], and for each kind of link (chain, skip, both) its edges with their pair marginals."""
     unary = p["w"][np.array(graph.features)].sum(axis=1)
     kinds = [(np.array(e, np.int64).reshape(-1, 2), p[k]) for e, k in ((graph.chain, "chain"), (graph.skip, "skip"))]
+    kinds.append((np.array(graph.both, np.int64).reshape(-1, 2), p["chain"] + p["skip"]))
     edges = np.concatenate([e for e, _ in kinds])
     pots = np.concatenate([np.broadcast_to(t, (len(e), LABELS, LABELS)) for e, t in kinds])
     src, dst = np.concatenate((edges[:, 0], edges[:, 1])), np.concatenate((edges[:, 1], edges[:, 0]))
@@ -150,7 +154,7 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
 
 
 def examples(count: int = 260, seed: int = 5) -> tuple[Graph, np.ndarray]:
-    """Invented documents with personal data, plain and spoilt, each repeated at times, and other numbers."""
+    """Invented documents with personal data, plain and spoilt, each repeated at times, and other numbers, with prose between or none."""
     draw = random.Random(seed)
     graph, labels = Graph(), []
     number = lambda n: "".join(draw.choice("0123456789") for _ in range(n))
@@ -179,7 +183,7 @@ def examples(count: int = 260, seed: int = 5) -> tuple[Graph, np.ndarray]:
         items += [draw.choice(items) for _ in range(draw.randint(1, 4))]
         text, marks = "", []
         for value, label in items:
-            text += " ".join(word() for _ in range(draw.randint(1, 8))) + " "
+            text += "".join(word() + " " for _ in range(draw.choice((0, draw.randint(1, 8)))))
             marks.append((len(text), label))
             text += value + draw.choice((" ", ", ", ". "))
         at = len(graph.spans)
@@ -199,8 +203,8 @@ def train(graph: Graph, labels: np.ndarray, *, steps: int = 120, rate: float = 0
         marginals, pairs = beliefs(graph, p, 3)
         g = {"w": np.zeros_like(p["w"])}
         np.add.at(g["w"], features.ravel(), np.repeat(seen - marginals, features.shape[1], axis=0))
-        for name, (e, joint) in zip(("chain", "skip"), pairs, strict=True):
-            g[name] = (seen[e[:, 0]][:, :, None] * seen[e[:, 1]][:, None, :] - joint).sum(axis=0)
+        chain, skip, both = ((seen[e[:, 0]][:, :, None] * seen[e[:, 1]][:, None, :] - joint).sum(axis=0) for e, joint in pairs)
+        g |= {"chain": chain + both, "skip": skip + both}
         for k, v in g.items():
             v = v / len(labels) - decay * p[k]
             scale[k] += v * v
