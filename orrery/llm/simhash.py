@@ -256,11 +256,13 @@ def near_duplicates(
     radius: int = RADIUS,
     scratch: Scratch | None = None,
 ) -> tuple[DataFrame, str]:
-    """Per row of ``docs``: its locator, doc_id, ``fp`` and ``component_id``; and the locator's name.
+    """Per row of ``docs``: its locator, doc_id, ``fp``, ``component_id`` and ``root``; and the locator's name.
 
     Fingerprints at most ``radius`` bits apart link, directly or through
     others; ``component_id`` is the smallest doc_id so reached, the row's own
-    included (null ids are passed over unless a component has no other). Texts
+    included (null ids are passed over unless a component has no other), so two
+    components share it where an id is repeated or all are null; ``root``, the
+    component's least fingerprint, names it for good. Texts
     without a word have fingerprint 0, which links like any other. Repeated
     rows share a fingerprint. An empty table gives an empty result.
     """
@@ -273,17 +275,18 @@ def near_duplicates(
     roots = stars(links(classes.select("fp"), scratch, radius=radius), scratch)
     rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = scratch.table(rooted.join(smallest, "root").select("fp", "component_id"), "components")
-    return prints.join(by_print, "fp").select(F.col("row").alias(key), "doc_id", "fp", "component_id"), key
+    by_print = scratch.table(rooted.join(smallest, "root").select("fp", "component_id", "root"), "components")
+    return prints.join(by_print, "fp").select(F.col("row").alias(key), "doc_id", "fp", "component_id", "root"), key
 
 
 def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", **settings) -> DataFrame:
-    """The rows of ``docs`` of which one per component stays: that of the smallest id, then of the first locator."""
+    """The rows of ``docs`` of which one per component stays: that of the smallest id (nulls last), then of the first locator."""
     scratch = settings.pop("scratch", None) or Scratch(docs.sparkSession, "simhash")
     rows, key = keyed(docs, scratch)
     found, locator = near_duplicates(docs, doc_id=doc_id, scratch=scratch, **settings)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min(locator).alias(key))
-    kept = rows.join(stay.select(key), key, "left_semi")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(locator).alias("row")))
+    stay = found.groupBy("root").agg(first.alias("first")).select(F.col("first.row").alias(key))
+    kept = rows.join(stay, key, "left_semi")
     return kept.select(*[kept[c] for c in docs.columns])
 
 
