@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -10,9 +11,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions.columns import cosine_distance
+from orrery.llm.common import Scratch
 
-#: Queries are shipped to the executors; so many values at most.
-MOST_QUERY_VALUES = 4_000_000
+#: Queries are shipped to the executors in blocks of so many values at most.
+BLOCK_VALUES = 4_000_000
+#: Distances that a task holds at once.
+TILE = 1 << 22
+FOUND = "query_id long, id long, distance double"
 
 
 def nearest(vectors: DataFrame, query: list[float], limit: int, *, exclude: int | None = None, narrowing: Column | None = None) -> DataFrame:
@@ -40,40 +45,71 @@ def page(ranked: DataFrame, *, limit: int, offset: int = 0, max_distance: float
     return found.withColumn("has_more", more).where(F.col("place") <= offset + limit)
 
 
-def nearest_to_each(vectors: DataFrame, queries: DataFrame, k: int, *, exclude_self: bool = True) -> DataFrame:
+def query_blocks(queries: DataFrame, values: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The ids and unit vectors of ``queries``, read row by row, in blocks of at most ``values`` values (or one row)."""
+    ids, rows = [], []
+    for row in queries.select("id", "vector").where("vector is not null").toLocalIterator():
+        if rows and (len(rows) + 1) * len(row.vector) > values:
+            yield _units(ids, rows)
+            ids, rows = [], []
+        ids.append(row.id)
+        rows.append(np.array(row.vector, np.float64))
+    if rows:
+        yield _units(ids, rows)
+
+
+def _units(ids: list[int], rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    unit = np.stack(rows)
+    norms = np.linalg.norm(unit, axis=1, keepdims=True)
+    return np.array(ids, np.int64), unit / np.where(norms == 0, np.nan, norms)
+
+
+def nearest_to_each(vectors: DataFrame, queries: DataFrame, k: int, *, exclude_self: bool = True, block_values: int = BLOCK_VALUES) -> DataFrame:
     """For each query the ``k`` nearest vectors (query_id, id, distance, rank), ties by id.
 
-    The queries, a set of checked size, go to every task; a task compares whole
-    batches by one matrix product and keeps its best k a query, and those are
-    merged by a window over at most k rows of a query and task.
+    The queries, however many, go to every task in blocks of ``block_values``
+    values; a task compares tiles of its batches by one matrix product and keeps
+    its best k a query, and those are merged by a window over at most k rows of
+    a query and task. Of more than one block each is a pass over the vectors,
+    run at once, whose result is written to the shared folder.
     """
-    found = queries.select("id", "vector").limit(MOST_QUERY_VALUES + 1).toPandas()
-    if sum(map(len, found["vector"])) > MOST_QUERY_VALUES:
-        raise ValueError("too many query values to ship; rank them in blocks")
-    ids = found["id"].to_numpy()
-    unit = np.array(found["vector"].tolist(), np.float64).reshape(len(ids), -1)
-    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best_d, best_i = np.full((len(ids), 0), np.inf), np.zeros((len(ids), 0), np.int64)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            block = np.array(batch.column("vector").to_pylist(), np.float64)
-            norms = np.linalg.norm(block, axis=1, keepdims=True)
-            own = batch.column("id").to_numpy(zero_copy_only=False)
-            distance = np.round(1 - unit @ (block / np.where(norms == 0, np.nan, norms)).T, 12)
-            if exclude_self:
-                distance[ids[:, None] == own[None, :]] = np.nan
-            distance = np.where(np.isnan(distance), np.inf, distance)
-            best_d = np.concatenate((best_d, distance), axis=1)
-            best_i = np.concatenate((best_i, np.broadcast_to(own, distance.shape)), axis=1)
-            order = np.lexsort((best_i, best_d), axis=1)[:, :k]
-            best_d, best_i = np.take_along_axis(best_d, order, 1), np.take_along_axis(best_i, order, 1)
-        kept = np.isfinite(best_d)
-        query = np.broadcast_to(ids[:, None], best_d.shape)
-        yield pa.RecordBatch.from_arrays([pa.array(query[kept]), pa.array(best_i[kept]), pa.array(best_d[kept])], ["query_id", "id", "distance"])
-
-    local = vectors.select("id", "vector").where("vector is not null").mapInArrow(run, "query_id long, id long, distance double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
-    return local.withColumn("rank", rank).where(F.col("rank") <= k)
+
+    def local(ids: np.ndarray, unit: np.ndarray) -> DataFrame:
+        tile = max(1, TILE // len(ids))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best_d, best_i = np.full((len(ids), 0), np.inf), np.zeros((len(ids), 0), np.int64)
+            for whole in batches:
+                for at in range(0, whole.num_rows, tile):
+                    batch = whole.slice(at, tile)
+                    block = np.array(batch.column("vector").to_pylist(), np.float64)
+                    norms = np.linalg.norm(block, axis=1, keepdims=True)
+                    own = batch.column("id").to_numpy(zero_copy_only=False)
+                    distance = np.round(1 - unit @ (block / np.where(norms == 0, np.nan, norms)).T, 12)
+                    if exclude_self:
+                        distance[ids[:, None] == own[None, :]] = np.nan
+                    distance = np.where(np.isnan(distance), np.inf, distance)
+                    best_d = np.concatenate((best_d, distance), axis=1)
+                    best_i = np.concatenate((best_i, np.broadcast_to(own, distance.shape)), axis=1)
+                    order = np.lexsort((best_i, best_d), axis=1)[:, :k]
+                    best_d, best_i = np.take_along_axis(best_d, order, 1), np.take_along_axis(best_i, order, 1)
+            kept = np.isfinite(best_d)
+            query = np.broadcast_to(ids[:, None], best_d.shape)
+            yield pa.RecordBatch.from_arrays([pa.array(query[kept]), pa.array(best_i[kept]), pa.array(best_d[kept])], ["query_id", "id", "distance"])
+
+        return vectors.select("id", "vector").where("vector is not null").mapInArrow(run, FOUND)
+
+    def merged(found: DataFrame) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
+        return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+    blocks = query_blocks(queries, block_values)
+    first, second = next(blocks, None), next(blocks, None)
+    if first is None:
+        return merged(vectors.sparkSession.createDataFrame([], FOUND))
+    if second is None:
+        return merged(local(*first))
+    scratch = Scratch(vectors.sparkSession, "ranking")
+    for n, block in enumerate(chain((first, second), blocks)):
+        merged(local(*block)).drop("rank").write.parquet(scratch.path(f"found/block={n}"))
+    return merged(vectors.sparkSession.read.parquet(scratch.path("found")).select("query_id", "id", "distance"))
