@@ -1,7 +1,11 @@
-"""Column functions of the catalogue; all of them stay in the JVM."""
+"""Column functions of the catalogue; all but the compatibility forms stay in the JVM."""
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +13,7 @@ from pyspark.sql import functions as F
 TAG = r"^[a-z0-9][a-z0-9_-]{0,63}\z"
 MOST_TAGS = 32
 REASON_BYTES = 2048
+MOST_NAME = 255
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -22,16 +27,35 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return 1 - F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+def _python(change: Callable, kind: str, raw: Column) -> Column:
+    """``change`` of each value that is not null; in Python, since Spark has no NFKC."""
+
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else change(v))
+
+    return F.pandas_udf(run, kind)(raw)
+
+
+def _tag_form(raw: Column) -> Column:
+    normalize = unicodedata.normalize
+    return _python(lambda v: normalize("NFKC", v).strip().lower(), "string", raw)
+
+
+def _tag_forms(raw: Column) -> Column:
+    normalize = unicodedata.normalize
+    return _python(lambda v: [None if t is None else normalize("NFKC", t).strip().lower() for t in v if t is None or t.strip()], "array<string>", raw)
+
+
 def normalise_tag(raw: Column) -> Column:
-    """Trimmed and lower-case; null where that is not a tag."""
-    tag = F.lower(F.trim(F.regexp_replace(F.normalize(raw) if hasattr(F, "normalize") else raw, r"^\s+|\s+$", "")))
+    """In compatibility form, trimmed and lower-case; null where that is not a tag."""
+    tag = _tag_form(raw)
     return F.when(tag.rlike(TAG), tag)
 
 
 def normalise_tags(raw: Column) -> Column:
     """Tags of an array: blanks dropped, the first of equals kept; null where one is no tag or too many are left."""
-    named = F.array_distinct(F.transform(F.filter(raw, lambda t: F.trim(t) != ""), normalise_tag))
-    return F.when(~F.exists(named, lambda t: t.isNull()) & (F.size(named) <= MOST_TAGS), named)
+    named = F.array_distinct(_tag_forms(raw))
+    return F.when(~F.exists(named, lambda t: t.isNull() | ~t.rlike(TAG)) & (F.size(named) <= MOST_TAGS), named)
 
 
 def tags_all(tags: Column, wanted: list[str]) -> Column:
@@ -54,6 +78,11 @@ def backoff_seconds(attempts: Column) -> Column:
 
 
 def file_name(raw: Column) -> Column:
-    """The last segment without control characters and outer dots, at most 255 characters."""
-    last = F.regexp_extract(F.regexp_replace(raw, r"\p{Cc}", ""), r"([^/\\]*)\z", 1)
-    return F.substring(F.regexp_replace(last, r"^\.+|\.+\z", ""), 1, 255)
+    """In compatibility form the last segment, without control characters, outer white space and dots, at most 255 characters; null if nothing is left."""
+    normalize, category = unicodedata.normalize, unicodedata.category
+
+    def change(value: str) -> str | None:
+        name = "".join(c for c in normalize("NFKC", value) if category(c) != "Cc")
+        return name.replace("\\", "/").rsplit("/", 1)[-1].strip().strip(".")[:MOST_NAME].strip() or None
+
+    return _python(change, "string", raw)
