@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions.columns import cosine_distance
-from orrery.llm.common import Scratch
+from orrery.scratch import Scratch
 
 #: Queries are shipped to the executors in blocks of so many values at most.
 BLOCK_VALUES = 4_000_000
