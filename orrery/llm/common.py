@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orrery.scratch import Scratch, shared_dir
+
 #: A word everywhere in this subpackage: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_JAVA = r"[^\x20\x09-\x0D]+"
@@ -39,41 +40,6 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; where unset (tests), one of our own."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        own = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if own.isDefined():
-            return own.get()
-        found = "file://" + tempfile.mkdtemp(prefix="orrery-checkpoint-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-class Scratch:
-    """Tables in the shared folder that cut lineage: a lost executor rereads them."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self.rows: list[tuple[DataFrame, DataFrame]] = []
-
-    def path(self, name: str) -> str:
-        return f"{self.base}/{name}"
-
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and read it back."""
-        df.write.parquet(self.path(name))
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
-
-    def drop(self, name: str) -> None:
-        """Delete one table that nothing reads any more."""
-        jvm, jsc = self.spark._jvm, self.spark._jsc
-        path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-        path.getFileSystem(jsc.hadoopConfiguration()).delete(path, True)
-
-
 def fresh(df: DataFrame, stem: str) -> str:
     """``stem``, lengthened until no column of ``df`` has that name in any case."""
     taken = {c.lower() for c in df.columns}
