@@ -52,7 +52,8 @@ def keyed(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, str]:
     """``docs`` with a column that names each row for good: file and row index, the content's locator.
 
     Rows that do not come straight from files are written to a scratch table
-    first, so that the locator survives recomputation.
+    first, so that the locator survives recomputation; there it is the part's
+    number and the row index, the same in every run that deals rows alike.
     """
     name = fresh(docs, "_row_locator")
     where: Column = F.concat_ws("#", F.col("_metadata.file_path"), F.col("_metadata.row_index").cast("string"))
@@ -64,12 +65,14 @@ def keyed(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, str]:
     except Exception as error:
         if "_metadata" not in str(error):
             raise
+    part = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1)
+    numbered = F.concat_ws("#", part, F.col("_metadata.row_index").cast("string"))
     for seen, written in scratch.rows:
         if seen is docs:
-            return written.withColumn(name, where), name
+            return written.withColumn(name, numbered), name
     written = scratch.table(docs, f"rows-{len(scratch.rows)}")
     scratch.rows.append((docs, written))
-    return written.withColumn(name, where), name
+    return written.withColumn(name, numbered), name
 
 
 def _straight_from_files(docs: DataFrame) -> bool:

@@ -1,4 +1,11 @@
-"""Line deduplication by a deletion-neighbourhood join over words."""
+"""Line deduplication by a deletion-neighbourhood join over characters.
+
+The neighbourhood is taken in two steps, so that its size does not grow with
+the square of a line. First a line's symbols are ``BLOCKS`` blocks of it, and
+its variants are the line with one block deleted; nearly all lines share none
+of these with another line and go no further. Of the lines that do, the
+symbols of the deleted block are its characters.
+"""
 
 from __future__ import annotations
 
@@ -9,34 +16,93 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import Scratch, keyed, ship
 
-#: Word lines shorter than this are joined only when equal.
-LEAST_WORDS = 5
+#: Blocks that a line is cut in; shorter lines have a block for each character.
+BLOCKS = 4
+#: An edit is allowed to lines that have so many characters for each edit.
+CHARACTERS_AN_EDIT = 4
+#: What a variant row says: own block less a character, own block whole, or the block of the longer line less a character.
+REPLACED, WHOLE, CUT = 0, 1, 2
 _STEP = np.uint64(0x9E3779B97F4A7C15 | 1)
+_BACK = np.uint64(pow(int(_STEP), -1, 1 << 64))
+
+
+def normal(line: str) -> str:
+    """The line's words, one space between them."""
+    return b" ".join(line.encode().split()).decode()
+
 
+def _remainder(line: str, start: int, end: int, seed: int) -> int:
+    return xxhash.xxh3_64_intdigest((line[:start] + "\n" + line[end:]).encode(), seed & 0xFFFFFFFFFFFFFFFF)
 
-def variants(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of a line's words with none and with each one deleted, and the deleted places (-1: none).
 
-    The hash is a polynomial over word hashes, so each variant takes one step
-    from the sums of the words before and after the deleted one.
+def blocks(line: str, least: int = CHARACTERS_AN_EDIT, cuts: int = BLOCKS) -> Iterator[tuple[int, int, int, bool]]:
+    """(key, start, end, longer) of each variant with one block deleted.
+
+    Blocks are those of a line of this length, and, as ``longer``, those of a
+    line one character shorter, each taking in one character more. So two
+    lines one edit apart have a variant in common: the one that deletes the
+    block in which the edit lies.
     """
-    n = len(words)
-    h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, n)
+    n = len(line)
+    for length, longer in ((n, False), (n - 1, True)):
+        if length < 1 or n + 1 - longer < least:
+            continue
+        for j in range(cuts):
+            start, end = length * j // cuts, length * (j + 1) // cuts
+            if start < end:
+                yield _remainder(line, start, end + longer, length * cuts + j), start, end + longer, longer
+
+
+def deletions(block: str, key: int) -> np.ndarray:
+    """Hashes of ``block`` whole, and with each of its characters deleted; all under ``key``.
+
+    The hash is a polynomial over the characters, so each variant takes one
+    step from the sums before and after the deleted one.
+    """
+    h = np.frombuffer(block.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    n = len(h)
+    h = (h + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    h ^= h >> np.uint64(29)
+    h = h * np.uint64(0x165667B19E3779F9)
     power = np.ones(n + 1, np.uint64)
     np.multiply.accumulate(np.full(n, _STEP), out=power[1:])
-    terms = h * power[:n]
-    before = np.concatenate((np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)))
-    after = before[n] - before[1:]
-    inverse = np.uint64(pow(int(_STEP), -1, 1 << 64))
-    without = before[:n] + after * inverse
-    return np.concatenate((before[n:], without)).view(np.int64), np.arange(-1, n, dtype=np.int32)
+    before = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * power[:n], dtype=np.uint64)))
+    without = before[:n] + (before[n] - before[1:]) * _BACK
+    mixed = (np.concatenate((before[n:], without)) ^ np.uint64(key & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xBF58476D1CE4E5B9)
+    return mixed ^ mixed >> np.uint64(31)
+
 
+def _marked(hashes: np.ndarray, marks: np.ndarray | int) -> np.ndarray:
+    """Hashes told apart by ``marks``."""
+    mixed = (hashes + np.uint64(marks) if isinstance(marks, int) else hashes + marks.astype(np.uint64)) * np.uint64(0x94D049BB133111EB)
+    return (mixed ^ mixed >> np.uint64(30)).view(np.int64)
 
-def within_one(a: list[str], b: list[str]) -> bool:
-    """Whether at most one word is inserted, deleted or replaced between ``a`` and ``b``."""
+
+def variants(line: str, live: set[int]) -> Iterator[tuple[np.ndarray, int]]:
+    """Of the blocks whose key is in ``live``, the hashed variants and what they say.
+
+    A place goes into the hash of ``REPLACED`` variants: equal ones differ in
+    the character there and nowhere else. A ``WHOLE`` variant equals a ``CUT``
+    one where the latter's line has one character more.
+    """
+    for key, start, end, longer in blocks(line):
+        if (key if key < 1 << 63 else key - (1 << 64)) not in live:
+            continue
+        found = deletions(line[start:end], key)
+        if longer:
+            yield np.unique(_marked(found[1:], 1)), CUT
+        else:
+            if len(line) >= CHARACTERS_AN_EDIT:
+                yield _marked(found[1:], np.arange(2, end - start + 2)), REPLACED
+            yield _marked(found[:1], 1), WHOLE
+
+
+def within_one(a: str, b: str) -> bool:
+    """Whether at most one character is inserted, deleted or replaced between ``a`` and ``b``."""
     if len(a) > len(b):
         a, b = b, a
     if len(b) - len(a) > 1:
@@ -45,72 +111,142 @@ def within_one(a: list[str], b: list[str]) -> bool:
     return a[i + (len(a) == len(b)) :] == b[i + 1 :]
 
 
-def repeated_lines(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", least: int = LEAST_WORDS, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame, str]:
-    """The lines that go, as (row, line), all lines (row, doc_id, line, value), and the locator's name.
+def _table(df: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, str]:
+    """One record per line (``line`` counts from 0; -1 stands for the document itself), the rows, and the locator's name."""
+    rows, key = keyed(df, scratch)
+    source = rows.select(F.col(key).alias("row"), "doc_id", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                owner, number, one, two, keys = [], [], [], [], []
+                for i, value in enumerate(batch.column("text")):
+                    value = value.as_py()
+                    owner.append(i)
+                    number.append(-1)
+                    one.append(None)
+                    two.append(None)
+                    keys.append(None)
+                    for n, line in enumerate(value.split("\n") if value is not None else ()):
+                        line = normal(line)
+                        owner.append(i)
+                        number.append(n)
+                        if line:
+                            h = xxhash.xxh3_128_digest(line.encode())
+                            one.append(int.from_bytes(h[:8], "big", signed=True))
+                            two.append(int.from_bytes(h[8:], "big", signed=True))
+                            keys.append([k if k < 1 << 63 else k - (1 << 64) for k, *_ in blocks(line)])
+                        else:
+                            one.append(None)
+                            two.append(None)
+                            keys.append(None)
+                places = pa.array(owner, pa.int32())
+                columns = [batch.column("row").take(places), batch.column("doc_id").take(places), pa.array(number, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "line", "one", "two", "keys"])
+
+    kind = source.schema["doc_id"].dataType.simpleString()
+    found = source.mapInArrow(run, f"row string, doc_id {kind}, line int, one long, two long, keys array<long>")
+    return scratch.table(found, "lines"), source, key
+
+
+def repeated_lines(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame, str]:
+    """The lines that go, as (row, line), all lines (row, doc_id, line), and the locator's name.
 
     A line goes when an earlier one (by doc_id, locator, line number; null ids
-    last) has the same words, or words at most one insertion, deletion or
-    replacement away where both have ``least`` words or more. Lines without a
-    word stay; null texts have none. Every distinct line emits each of its
-    deletion variants as a hashed key; a key's earliest line is found by
-    aggregation, so a key that millions of lines share is one row per task,
-    and no pair is made but of a line and its key's earliest.
+    last) has the same words, or is one character insertion, deletion or
+    replacement away once words stand one space apart, and the longer of the
+    two has ``CHARACTERS_AN_EDIT`` characters or more; so of shorter lines only
+    equal ones go. Lines without a word stay, a null text has no line, an empty
+    one has one. Very long lines are compared whole. Repeated rows are
+    documents of their own, told apart by their locator. An empty table gives
+    empty results; other columns of ``docs`` are not looked at.
+
+    Texts are read where they lie and only numbers are shuffled: 128 bits name
+    a line's words, and each distinct line sends its variants less one block.
+    Only lines that share one have their text fetched again, send the variants
+    of that block's characters, and are compared in full with the earliest line
+    that shares one. A variant that millions of lines share is one row per task
+    after aggregation; no pair is made but of a line and its variant's earliest.
     """
     spark = docs.sparkSession
     ship(spark)
     scratch = scratch or Scratch(spark, "lines")
-    rows, key = keyed(docs, scratch)
-    lines = rows.select(F.col(key).alias("row"), F.col(doc_id).alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line", "value"))
-    norm = F.array_join(F.filter(F.split("value", r"[\x20\x09-\x0D]+"), lambda w: w != ""), " ")
-    lines = lines.withColumn("norm", norm)
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "line")
-    distinct = lines.where("norm != ''").groupBy("norm").agg(F.min(place).alias("first"))
-    distinct = scratch.table(distinct.withColumn("id", F.xxhash64("norm")), "distinct")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    all_, source, key = _table(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), scratch)
+    source_ids = all_.schema["doc_id"].dataType
+    named = all_.where("one is not null")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "line", "keys")
+    heads = scratch.table(named.groupBy("one", "two").agg(F.min(place).alias("first"), F.count("*").alias("n")).select("one", "two", "n", "first.*"), "heads")
+    several = heads.where("n > 1").select(F.col("one").alias("o"), F.col("two").alias("t"), F.col("row").alias("r"), F.col("line").alias("l"))
+    later = named.join(several, (F.col("one") == F.col("o")) & (F.col("two") == F.col("t"))).where("row != r or line != l").select("row", "line")
+
+    cut = heads.select("none", "doc_id", "row", "line", F.col("one").alias("id"), F.explode("keys").alias("key"))
+    shared = cut.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a != b").select("key")
+    alive = cut.join(shared, "key").groupBy("none", "doc_id", "row", "line").agg(F.collect_set("key").alias("live"))
+    wanted = alive.groupBy("row").agg(F.collect_list(F.struct("none", "doc_id", "line", "live")).alias("lines"))  # at most a document's lines
+    fetched = source.select(F.col("row").alias("at"), "text").join(wanted, F.col("at") == F.col("row")).drop("at")
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                keys, places, owners, firsts = [], [], [], []
-                batch = whole.slice(at, 256)
-                for i, value in enumerate(batch.column("norm").to_pylist()):
-                    words = value.split(" ")
-                    if len(words) >= least:
-                        k, p = variants(words)
-                        keys.append(k)
-                        places.append(p)
-                        owners.append(np.full(len(k), i))
-                if keys:
-                    owner = pa.array(np.concatenate(owners))
-                    firsts = batch.column("first").take(owner)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(places)), batch.column("id").take(owner), firsts], ["key", "place", "id", "first"])
-
-    first_type = distinct.schema["first"].dataType.simpleString()
-    keyed_lines = distinct.select("norm", "id", "first").mapInArrow(run, f"key long, place int, id long, first {first_type}")
-    slim = scratch.table(keyed_lines, "variants")
-    # Earliest line of each key and place, and per key of the whole and the cut lines.
-    best = slim.groupBy("key", "place").agg(F.min(F.struct("first", "id")).alias("best"))
-    best = scratch.table(best, "best")
-    same_place = slim.join(best.where("place >= 0"), ["key", "place"]).where("best.first < first").select("id", F.col("best.id").alias("other"))
-    cut = best.where("place >= 0").groupBy("key").agg(F.min("best").alias("best"))
-    whole = best.where("place = -1").select("key", "best")
-    grown = slim.where("place = -1").join(cut, "key").where("best.first < first").select("id", F.col("best.id").alias("other"))
-    shrunk = slim.where("place >= 0").join(whole, "key").where("best.first < first").select("id", F.col("best.id").alias("other"))
-    pairs = same_place.unionAll(grown).unionAll(shrunk).distinct()
-    names = distinct.select("id", "norm")
-    verified = pairs.join(names.toDF("id", "a"), "id").join(names.toDF("other", "b"), "other")
-    near = F.udf(lambda a, b: within_one(a.split(" "), b.split(" ")), "boolean")
-    gone = scratch.table(verified.where(near("a", "b")).select(F.col("a").alias("norm")).distinct(), "gone")
-    later = lines.where("norm != ''").join(distinct.select("norm", "first"), "norm")
-    later = later.where((place != F.col("first"))).select("row", "line")
-    firsts = distinct.join(gone, "norm", "left_semi").select("first.row", "first.line")
-    return later.unionAll(firsts), lines.select("row", "doc_id", "line", "value"), key
+            for at in range(0, whole.num_rows, 64):
+                batch = whole.slice(at, 64)
+                out = []
+                for row, value, chosen in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), batch.column("lines").to_pylist(), strict=True):
+                    split = value.split("\n")
+                    out += [{"none": c["none"], "doc_id": c["doc_id"], "row": row, "line": c["line"], "norm": normal(split[c["line"]]), "live": c["live"]} for c in chosen]
+                yield pa.RecordBatch.from_pylist(out, schema)
+
+    kind, ids = to_arrow_type(source_ids), source_ids.simpleString()
+    schema = pa.schema([("none", pa.bool_()), ("doc_id", kind), ("row", pa.string()), ("line", pa.int32()), ("norm", pa.string()), ("live", pa.list_(pa.int64()))])
+    texts = fetched.select("row", "text", "lines").mapInArrow(fetch, f"none boolean, doc_id {ids}, row string, line int, norm string, live array<long>")
+    # Sorted, so that the numbers given to the lines are in their order.
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    texts = texts.repartitionByRange(parts, "none", "doc_id", "row", "line").sortWithinPartitions("none", "doc_id", "row", "line")
+    texts = scratch.table(texts.withColumn("id", F.monotonically_increasing_id()), "candidates")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                batch = whole.slice(at, 64)
+                found, says, owner = [], [], []
+                for i, (line, live) in enumerate(zip(batch.column("norm").to_pylist(), batch.column("live").to_pylist(), strict=True)):
+                    for hashes, role in variants(line, set(live)):
+                        found.append(hashes)
+                        says.append(np.full(len(hashes), role, np.int32))
+                        owner.append(np.full(len(hashes), i, np.int32))
+                if found:
+                    places = pa.array(np.concatenate(owner))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(says)), batch.column("id").take(places)], ["variant", "role", "id"])
+
+    slim = scratch.table(texts.select("id", "norm", "live").mapInArrow(spread, "variant long, role int, id long"), "variants")
+    first = [F.min(F.when(F.col("role") == role, F.col("id"))).alias(f"first_{role}") for role in (REPLACED, WHOLE, CUT)]
+    best = slim.groupBy(F.col("variant").alias("v")).agg(*first, F.count("*").alias("n")).where("n > 1").drop("n")
+    joined = slim.join(best, F.col("variant") == F.col("v"))
+    partner = F.when(F.col("role") == REPLACED, F.col("first_0")).when(F.col("role") == WHOLE, F.col("first_2")).otherwise(F.col("first_1"))
+    pairs = joined.select("id", partner.alias("other")).where("other < id").distinct()
+    names = texts.select("id", "norm")
+    both = pairs.join(names.toDF("id", "a"), "id").join(names.toDF("other", "b"), "other").select("id", "a", "b")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [within_one(a, b) for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("id").filter(pa.array(good, pa.bool_()))], ["id"])
+
+    gone = scratch.table(both.mapInArrow(verify, "id long").distinct(), "gone")
+    firsts = texts.join(gone, "id", "left_semi").select("row", "line")
+    return later.unionAll(firsts), all_.where("line >= 0").select("row", "doc_id", "line"), key
 
 
 def per_document(docs: DataFrame, **settings) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_lines, n_removed and kept_lines (numbers of the lines that stay)."""
+    """Per row of ``docs``: doc_id, n_lines, n_removed and kept_lines (numbers of the lines that stay).
+
+    A null text has no lines, so three times nothing; otherwise as :func:`repeated_lines` says.
+    """
     scratch = settings.pop("scratch", None) or Scratch(docs.sparkSession, "lines")
-    gone, lines, _ = repeated_lines(docs, scratch=scratch, **settings)
-    marked = lines.drop("value").join(gone.withColumn("gone", F.lit(True)), ["row", "line"], "left")
-    stays = F.sort_array(F.collect_list(F.when(F.col("gone").isNull(), F.col("line"))))
-    per = marked.groupBy("row", "doc_id").agg(F.count("*").alias("n_lines"), F.count("gone").alias("n_removed"), stays.alias("kept_lines"))
+    gone, _, _ = repeated_lines(docs, scratch=scratch, **settings)
+    lines = docs.sparkSession.read.parquet(scratch.path("lines")).select("row", "doc_id", "line")
+    marked = lines.join(gone.withColumn("gone", F.lit(True)), ["row", "line"], "left")
+    real = F.col("line") >= 0
+    stays = F.sort_array(F.collect_list(F.when(real & F.col("gone").isNull(), F.col("line"))))
+    per = marked.groupBy("row", "doc_id").agg(F.count(F.when(real, 1)).alias("n_lines"), F.count("gone").alias("n_removed"), stays.alias("kept_lines"))
     return per.drop("row")

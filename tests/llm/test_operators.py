@@ -1,10 +1,9 @@
-import itertools
 import random
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from orrery.llm import counts, exact, language, lines, mixing, pii, quartile, simhash, urls
+from orrery.llm import counts, exact, language, mixing, pii, quartile, simhash, urls
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, ROW int"
 ROWS = [(1, "a b c", "en", "s", 5, 0), (2, None, None, None, None, 1), (3, "a b c", "en", "s", 5, 2), (3, "a b c", "en", "s", 5, 3), (None, "", None, "t", 0, 4), (5, "x y", "en", "t", 3, 5)]
@@ -70,16 +69,6 @@ def test_next_documents_by_descending_id(spark):
     assert len(found) == 5 and quartile.with_edits(docs(spark, [])).count() == 0
 
 
-def test_repeated_lines_against_brute_force(spark):
-    draw = random.Random(1)
-    texts = ["\n".join(" ".join(draw.choice("ab") for _ in range(draw.randint(0, 7))) for _ in range(6)) for _ in range(12)]
-    gone, all_, _ = lines.repeated_lines(docs(spark, [(i, t, "", "", 0, 0) for i, t in enumerate(texts)]))
-    found = {(r.doc_id, r.line) for r in all_.join(gone, ["row", "line"]).collect()}
-    flat = [(i, n, line.split()) for i, t in enumerate(texts) for n, line in enumerate(t.split("\n"))]
-    like = lambda a, b: a == b or (min(len(a), len(b)) >= lines.LEAST_WORDS and lines.within_one(a, b))
-    assert found == {(b[0], b[1]) for a, b in itertools.combinations(flat, 2) if b[2] and like(a[2], b[2])}
-
-
 def test_base_spans():
     text = "a.b@c.de, 1.2.3.4 and 300.1.1.1; 4111 1111 1111 1111; +1 (743) 555-3824 x@y"
     assert [(pii.KINDS[k], text[s:e]) for k, s, e in pii.base_spans(text)] == [("email", "a.b@c.de"), ("ip", "1.2.3.4"), ("card", "4111 1111 1111 1111"), ("phone", "+1 (743) 555-3824")]
