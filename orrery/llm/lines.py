@@ -112,7 +112,7 @@ def within_one(a: str, b: str) -> bool:
 
 
 def _table(df: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, str]:
-    """One record per line (``line`` counts from 0; -1 stands for the document itself), the rows, and the locator's name."""
+    """One record per line (``line`` counts from 0; at -1 stands the document with its lines' number as ``two``), the rows, and the locator's name."""
     rows, key = keyed(df, scratch)
     source = rows.select(F.col(key).alias("row"), "doc_id", "text")
 
@@ -123,12 +123,13 @@ def _table(df: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, str]:
                 owner, number, one, two, keys = [], [], [], [], []
                 for i, value in enumerate(batch.column("text")):
                     value = value.as_py()
+                    split = [] if value is None else value.split("\n")
                     owner.append(i)
                     number.append(-1)
                     one.append(None)
-                    two.append(None)
+                    two.append(len(split))
                     keys.append(None)
-                    for n, line in enumerate(value.split("\n") if value is not None else ()):
+                    for n, line in enumerate(split):
                         line = normal(line)
                         owner.append(i)
                         number.append(n)
@@ -180,9 +181,11 @@ def repeated_lines(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
     several = heads.where("n > 1").select(F.col("one").alias("o"), F.col("two").alias("t"), F.col("row").alias("r"), F.col("line").alias("l"))
     later = named.join(several, (F.col("one") == F.col("o")) & (F.col("two") == F.col("t"))).where("row != r or line != l").select("row", "line")
 
-    cut = heads.select("none", "doc_id", "row", "line", F.col("one").alias("id"), F.explode("keys").alias("key"))
-    shared = cut.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a != b").select("key")
-    alive = cut.join(shared, "key").groupBy("none", "doc_id", "row", "line").agg(F.collect_set("key").alias("live"))
+    # Keys that two distinct lines share; a written table, so that it is broadcast where it is small and joined by a shuffle where not.
+    shared = heads.select(F.explode("keys").alias("k")).groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k")
+    shared = scratch.table(shared, "shared")
+    cut = heads.select("none", "doc_id", "row", "line", F.explode("keys").alias("key"))
+    alive = cut.join(shared, F.col("key") == F.col("k")).groupBy("none", "doc_id", "row", "line").agg(F.collect_set("key").alias("live"))
     wanted = alive.groupBy("row").agg(F.collect_list(F.struct("none", "doc_id", "line", "live")).alias("lines"))  # at most a document's lines
     fetched = source.select(F.col("row").alias("at"), "text").join(wanted, F.col("at") == F.col("row")).drop("at")
 
@@ -244,9 +247,9 @@ def per_document(docs: DataFrame, **settings) -> DataFrame:
     """
     scratch = settings.pop("scratch", None) or Scratch(docs.sparkSession, "lines")
     gone, _, _ = repeated_lines(docs, scratch=scratch, **settings)
-    lines = docs.sparkSession.read.parquet(scratch.path("lines")).select("row", "doc_id", "line")
-    marked = lines.join(gone.withColumn("gone", F.lit(True)), ["row", "line"], "left")
-    real = F.col("line") >= 0
-    stays = F.sort_array(F.collect_list(F.when(real & F.col("gone").isNull(), F.col("line"))))
-    per = marked.groupBy("row", "doc_id").agg(F.count(F.when(real, 1)).alias("n_lines"), F.count("gone").alias("n_removed"), stays.alias("kept_lines"))
-    return per.drop("row")
+    lines = docs.sparkSession.read.parquet(scratch.path("lines"))
+    documents = lines.where("line = -1").select("row", "doc_id", F.col("two").cast("int").alias("n"))
+    left = gone.groupBy("row").agg(F.collect_list("line").alias("lines"))  # at most a document's lines
+    per = documents.join(left, "row", "left").withColumn("lines", F.coalesce("lines", F.array().cast("array<int>")))
+    every = F.when(F.col("n") > 0, F.sequence(F.lit(0), F.col("n") - 1)).otherwise(F.array().cast("array<int>"))
+    return per.select("doc_id", F.col("n").cast("long").alias("n_lines"), F.size("lines").cast("long").alias("n_removed"), F.array_except(every, "lines").alias("kept_lines"))
