@@ -1,9 +1,10 @@
 """Personal data: fixed patterns, and a skip-chain conditional random field that adds what they miss.
 
-The field's nodes are a document's words that hold a digit or an at sign.
-Neighbouring nodes are linked, whatever stands between, and so is each node to
-the last one before it, however far, that repeats it or is like it (the same
-digits). Each of the two ways has one potential; a pair linked both ways is one
+The field's nodes are a document's number groups, spelt-out addresses, and
+other words that hold a digit or an at sign. Neighbouring nodes are linked,
+whatever stands between, and so is each node to the last one before it, however
+far, that repeats it or is like it (the same last digits, or the same address
+however its signs are spelt). Each of the two ways has one potential; a pair linked both ways is one
 edge with their sum. Labels are passed around by loopy message passing.
 """
 
@@ -18,6 +19,7 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .common import ship
@@ -35,13 +37,31 @@ SURE = 0.9
 #: The patterns that the task names.
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")  # a match takes whole runs of digits, so none starts inside one
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-NODE = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
+_AT = r"\x20?(?:@|[\[(<]@[\])>]|[\[(<]at[\])>]|\bat\b)\x20?"
+_DOT = r"(?:\.|\x20?(?:[\[(<]\.[\])>]|[\[(<]dot[\])>]|\bdot\b)\x20?)"
+#: A node: an address with its signs spelt in some way, a group of numbers, or a word with a digit or an at sign.
+NODE = re.compile(
+    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++{_AT}[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)+"
+    r"|(?<![^\x20\x09-\x0D([<\"'])[+(]{0,2}[0-9](?:[\x20().\[\]/-]{0,3}[0-9])++(?![^\x20\x09-\x0D.,;:!?)\]>\"'])"
+    r"|(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+)
 _DIGITS = re.compile(r"[^0-9]")
-_RUNS = ((re.compile(r"[0-9]+"), lambda m: "9" * min(5, len(m[0]))), (re.compile(r"[^\W\d_]+"), lambda m: "a"))
+_SPELT = re.compile(r"\x20?(?:[\[(<](?:at|dot|@|\.)[\])>]|\b(?:at|dot)\b)\x20?")
+_SIGNS = re.compile(r"[^a-z0-9]+")
+_RUNS = ((re.compile(r"[0-9]+"), lambda m: "9" * min(5, len(m[0]))), (re.compile(r"[^\W\d_]+"), lambda m: m[0] if m[0] in ("at", "dot") else "a"))
+
+
+def likeness_key(word: str) -> str:
+    """What nodes that are like each other share; empty where a node is too short to be known again."""
+    digits = _DIGITS.sub("", word)
+    if len(digits) >= 7 and not any(c.isalpha() for c in word):
+        return digits[-7:]
+    key = _SIGNS.sub("", _SPELT.sub("", word.lower()))
+    return key if len(key) >= 5 else ""
 
 
 def luhn(digits: str) -> bool:
@@ -66,7 +86,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
             found.append((0, start, last))
         at = text.find("@", max(at + 1, last))
     for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p) <= 3 and int(p or "0") <= 255 for p in (part.lstrip("0") for part in m[0].split("."))):
             found.append((1, *m.span()))
     for m in CARD.finditer(text):
         digits = _DIGITS.sub("", m[0])
@@ -96,7 +116,7 @@ class Graph:
             start, end = m.span()
             i = len(self.spans)
             word = m[0]
-            shape = word if len(word) <= 80 else word[:40] + word[-40:]
+            shape = word
             for pattern, put in _RUNS:
                 shape = pattern.sub(put, shape)
             before = text[max(0, start - 24) : start].split()
@@ -104,14 +124,14 @@ class Graph:
             while c < len(covered) and covered[c][1] <= start:
                 c += 1
             kind = KINDS[covered[c][2]] if c < len(covered) and covered[c][0] < end else "none"
-            count = min(20, len(_DIGITS.sub("", word)))
-            named = ("1", f"s{shape}", f"k{kind}", f"p{before[-1].lower() if before else ''}", f"n{after[0].lower() if after else ''}", f"d{count}", f"@{'@' in word}{word.count('.')}")
+            bare = _DIGITS.sub("", word)
+            valid = 16 <= len(bare) <= 19 and luhn(bare)
+            named = ("1", f"s{shape}", f"k{kind}", f"p{before[-1].lower() if before else ''}", f"n{after[0].lower() if after else ''}", f"d{len(bare)}{valid}", f"@{'@' in word}{word.count('.')}")
             self.features.append([crc32(f.encode()) % FEATURES for f in named])
             self.spans.append((doc, start, end))
-            digits = _DIGITS.sub("", word)
-            like = digits if len(digits) >= 7 else word.strip(".,;:!?()[]<>\"'").lower()
+            like = likeness_key(word)
             earlier = None
-            if len(like) >= 5:
+            if like:
                 earlier = last.get(like)
                 last[like] = i
             if earlier is not None and earlier < i - 1:
@@ -153,43 +173,75 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
     return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
 
 
-def examples(count: int = 260, seed: int = 5) -> tuple[Graph, np.ndarray]:
-    """Invented documents with personal data, plain and spoilt, each repeated at times, and other numbers, with prose between or none."""
+def _number(draw: random.Random, n: int) -> str:
+    return "".join(draw.choice("0123456789") for _ in range(n))
+
+
+def _word(draw: random.Random) -> str:
+    return "".join(draw.choice("aeinorst") for _ in range(draw.randint(2, 8)))
+
+
+def entity(draw: random.Random, kind: int) -> tuple[str, list[str], list[str]]:
+    """An invented piece of personal data: plainly written, spoilt in ways of its own, and in ways that other numbers are written too."""
+    if kind == 0:
+        user = f"{_word(draw)}{draw.choice(('.', '_', ''))}{_word(draw)}{draw.choice(('', _number(draw, 2)))}"
+        host, end = _word(draw) + _word(draw), draw.choice(("example.com", "example.org", "example.net"))
+        name, dom = end.split(".")
+        spoilt = [f"{user}(@){host}.{end}", f"{user}[at]{host}.{end}", f"{user} at {host} dot {name} dot {dom}", f"{user}(at){host}(dot){name}(dot){dom}", f"{user} @ {host}.{end}", f"{user}[@]{host}[.]{name}[.]{dom}"]
+        return f"{user}@{host}.{end}", spoilt, [f"{user}@{host}"]
+    if kind == 1:
+        parts = [str(draw.randint(0, 255)) for _ in range(4)]
+        return ".".join(parts), ["[.]".join(parts), "(.)".join(parts)], [" . ".join(parts), "-".join(parts)]
+    if kind == 2:
+        digits = draw.choice("3456") + _number(draw, 14)
+        digits += next(d for d in "0123456789" if luhn(digits + d))
+        fours = [digits[i : i + 4] for i in range(0, 16, 4)]
+        return draw.choice((digits, "-".join(fours), " ".join(fours))), [".".join(fours), "/".join(fours), " - ".join(fours)], []
+    area, mid, end = _number(draw, 3), draw.choice(("555", _number(draw, 3))), _number(draw, 4)
+    spoilt = [f"({area}) {mid}-{end}", f"({area}){mid}-{end}", f"{area}-{mid}-{end}", f"001-{area}-{mid}-{end}"]
+    return f"+1-{area}-{mid}-{end}", spoilt, [f"{area} {mid} {end}", f"{area}.{mid}.{end}", f"{area}{mid}{end}"]
+
+
+def other(draw: random.Random) -> str:
+    """Invented numbers and words that are nobody's data; some are written as spoilt data is."""
+    n = lambda k: _number(draw, k)
+    return draw.choice((
+        n(draw.randint(1, 6)), f"{_word(draw)}{n(2)}", f"{n(1)}.{n(2)}", n(16), f"{n(4)}-{n(2)}-{n(2)}", hashlib.md5(n(4).encode()).hexdigest(),
+        f"{n(3)} {n(3)} {n(4)}", f"{n(3)}.{n(3)}.{n(4)}", n(10), f"{n(2)}/{n(2)}/{n(4)}", f"{n(2)}:{n(2)}", f"v{n(1)}.{n(1)}.{n(2)}", f"{n(1)}.{n(1)}.{n(2)}",
+        f"{n(2)}-{n(2)}-{n(1)}-{n(2)}", f"{n(2)} . {n(1)} . {n(2)} . {n(1)}", f"@{_word(draw)}{_word(draw)}", f"{_word(draw)}@{_word(draw)}", f"{n(4)}.{n(4)}", f"{n(3)},{n(3)}", f"{n(2)}%", f"${n(3)}.{n(2)}",
+        f"{n(4)}.{n(4)}.{n(4)}", f"{n(4)} {n(4)}", f"{n(3)}-{n(4)}",
+    ))
+
+
+def examples(count: int = 500, seed: int = 5) -> tuple[Graph, np.ndarray]:
+    """Invented documents with personal data, plain, spoilt and both, repeated at times, and other numbers, with prose between or none.
+
+    Data written as other numbers are stands only where it is also written
+    plainly, so it takes a link to tell the two apart.
+    """
     draw = random.Random(seed)
     graph, labels = Graph(), []
-    number = lambda n: "".join(draw.choice("0123456789") for _ in range(n))
-    word = lambda: "".join(draw.choice("aeinorst") for _ in range(draw.randint(2, 8)))
-
-    def item() -> tuple[str, int]:
-        kind = draw.randrange(9)
-        if kind == 0:
-            return f"{word()}.{number(2)}@{word()}{number(1)}.example.com", 0
-        if kind == 1:
-            return ".".join(str(draw.randint(0, 255)) for _ in range(4)), 1
-        if kind == 2:
-            digits = number(15)
-            digits += next(d for d in "0123456789" if luhn(digits + d))
-            return digits if draw.random() < 0.5 else "-".join(digits[i : i + 4] for i in range(0, 16, 4)), 2
-        if kind == 3:
-            return f"+1-{number(3)}-555-{number(4)}", 3
-        if kind == 4:
-            return f"({number(3)})555-{number(4)}", 3
-        if kind == 5:
-            return f"{word()}.{number(2)}(@){word()}.example.org", 0
-        return draw.choice((number(draw.randint(1, 6)), f"{word()}{number(2)}", f"{number(1)}.{number(2)}", number(16), f"{number(4)}-{number(2)}-{number(2)}", hashlib.md5(number(4).encode()).hexdigest())), OTHER
-
     for doc in range(count):
-        items = [item() for _ in range(draw.randint(2, 6))]
-        items += [draw.choice(items) for _ in range(draw.randint(1, 4))]
+        items: list[tuple[str, int]] = []
+        for _ in range(draw.randint(1, 3)):
+            kind = draw.randrange(4)
+            plain, spoilt, shared = entity(draw, kind)
+            if draw.random() < 0.5:
+                items += [(plain, kind)] + [(value, kind) for value in draw.choices(spoilt + shared, k=draw.randint(0, 3))]
+            else:
+                items += [(draw.choice(spoilt), kind)] * draw.randint(1, 3)
+        for _ in range(draw.randint(1, 5)):
+            items += [(other(draw), OTHER)] * draw.choice((1, 1, 2, 3))
+        draw.shuffle(items)
         text, marks = "", []
         for value, label in items:
-            text += "".join(word() + " " for _ in range(draw.choice((0, draw.randint(1, 8)))))
-            marks.append((len(text), label))
+            text += "".join(_word(draw) + " " for _ in range(draw.choice((draw.randint(1, 3), draw.randint(1, 8)))))
+            marks.append((len(text), len(text) + len(value), label))
             text += value + draw.choice((" ", ", ", ". "))
         at = len(graph.spans)
         graph.add(doc, text, base_spans(text))
-        starts = dict(marks)
-        labels += [starts.get(s, OTHER) for _, s, _ in graph.spans[at:]]
+        for _, s, e in graph.spans[at:]:
+            labels.append(next((label for a, b, label in marks if a < e and s < b), OTHER))
     return graph, np.array(labels)
 
 
@@ -234,15 +286,16 @@ def find(docs: DataFrame, *, text: str = "text", keep: list[str] | None = None,
 
     Places count code points, the end exclusive. ``base`` are the spans of the
     fixed patterns, ``spans`` those and the field's. Null and empty texts have
-    none; whole texts are read; repeated rows are each searched; an empty table
-    gives an empty one. Links to the last like node make a document's graph
-    linear in its length.
+    none; whole texts are read, in time that grows with their length only;
+    repeated rows are each searched; columns of the added names are replaced;
+    an empty table gives an empty one. Links to the last like node make a
+    document's graph linear in its length.
     """
     ship(docs.sparkSession)
     weights = weights or train(*examples())
     names = ["base", "spans"]
     kept = [c for c in (keep or docs.columns) if c.lower() not in names]
-    source = docs.select(*[docs[c].alias(f"k{i}") for i, c in enumerate(kept)], docs[text].alias("whole"))
+    source = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(kept)], F.col(f"`{text}`").alias("whole"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -263,9 +316,7 @@ def find(docs: DataFrame, *, text: str = "text", keep: list[str] | None = None,
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """Per document how many fixed spans of each kind it has, their digest, and all spans."""
-    from pyspark.sql import functions as F
-
+    """Per document how many fixed spans of each kind it has, their digest, and all spans; nulls, repeats and empty tables as in :func:`find`."""
     found = find(docs, keep=["doc_id"])
     n = [F.regexp_count("base", F.lit(f"{kind}:")).cast("long").alias(f"n_{kind}") for kind in KINDS]
     return found.select("doc_id", *n, F.sha2("base", 256).alias("base_sha256"), "spans")
