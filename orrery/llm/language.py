@@ -11,13 +11,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import ship
+from .common import Scratch, ship
 
 #: Hidden units of each direction.
 UNITS = 8
 #: Bytes to a window; a text is read in windows that cover all of it.
 SPAN = 96
-#: At most so many documents of each language are learnt from, and so many windows of each.
+#: About so many documents of each language are learnt from, and so many windows of each.
 SAMPLE = 400
 WINDOWS = 3
 #: Passes of the training.
@@ -153,26 +153,52 @@ def windows_of(raw: bytes, span: int = SPAN) -> np.ndarray:
     return out.reshape(n, span)
 
 
-def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample: int = SAMPLE) -> tuple[list[str], dict | None]:
-    """Languages and weights from at most ``sample`` labelled documents of each language, by a seeded hash of the id."""
-    labelled = docs.where(docs[lang].isNotNull() & docs[text].isNotNull())
-    rows = labelled.select(docs[lang].cast("string").alias("lang"), docs[text].alias("text"), F.xxhash64(docs[doc_id], F.lit(11)).alias("place"))
-    first = Window.partitionBy("lang").orderBy("place", "text")
-    rows = rows.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= sample)  # a group limit: each task passes on so many
-    found = sorted((r.lang, r.nth, r.text) for r in rows.select("lang", "nth", "text").toLocalIterator() if _letter(r.text))
-    langs = sorted({lang for lang, _, _ in found})
+def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample: int = SAMPLE, scratch: Scratch | None = None) -> tuple[list[str], dict | None]:
+    """Languages and weights from about ``sample`` labelled documents of each language, fewer where there are fewer.
+
+    Documents are drawn by a seeded hash of id and text: those whose hash lies
+    under a bound that the language's count gives, and of these the ``sample``
+    lowest. So only numbers of a few times ``sample`` rows a language meet in a
+    task, however many rows or tasks there are, and the driver gets
+    ``WINDOWS`` windows of ``SPAN`` bytes of each document drawn. Null texts,
+    texts without a letter and null labels are not learnt from; repeated rows
+    count once; an empty table gives no languages and no weights.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    scratch = scratch or Scratch(spark, "language")
+    value, name = F.col(f"`{text}`"), F.col(f"`{lang}`").cast("string")
+    place = F.shiftrightunsigned(F.xxhash64(F.col(f"`{doc_id}`").cast("string"), value, F.lit(11)), 1)
+    labelled = docs.where(name.isNotNull() & value.rlike(r"\p{L}"))
+    narrow = scratch.table(labelled.select(name.alias("lang"), place.alias("place")), "places")
+    counts = narrow.groupBy("lang").agg(F.count("*").alias("n"))
+    bound = F.least(F.lit(1.0), F.lit(4.0) * sample / F.col("n")) * float(1 << 63)
+    under = narrow.join(counts, "lang").where(F.col("place") <= bound).select("lang", "place").distinct()
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("place"))
+    drawn = scratch.table(under.withColumn("nth", nth).where(F.col("nth") <= sample).drop("nth"), "drawn")
+    found = labelled.select(name.alias("lang"), place.alias("place"), value.alias("text")).join(drawn, ["lang", "place"], "left_semi")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                batch = whole.slice(at, 64)
+                chosen = []
+                for place, value in zip(batch.column("place").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                    all_ = windows_of(value.encode())
+                    chosen.append([all_[i].astype(np.int16).tobytes() for i in np.random.default_rng(place).permutation(len(all_))[:WINDOWS]])
+                yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("place"), pa.array(chosen, pa.list_(pa.binary()))], ["lang", "place", "windows"])
+
+    cuts = found.mapInArrow(cut, "lang string, place long, windows array<binary>").dropDuplicates(["lang", "place"])
+    rows = sorted((r.lang, r.place, r.windows) for r in cuts.collect())  # sample documents a language, some hundred bytes each
+    langs = sorted({r[0] for r in rows})
     if not langs:
         return [], None
-    windows, labels = [], []
-    for name, nth, value in found:
-        all_ = windows_of(value.encode())
-        for i in np.random.default_rng(nth).permutation(len(all_))[:WINDOWS]:
-            windows.append(all_[i])
-            labels.append(langs.index(name))
-    by_label = [np.flatnonzero(np.array(labels) == i) for i in range(len(langs))]
+    windows = np.array([np.frombuffer(w, np.int16) for _, _, chosen in rows for w in chosen])
+    labels = np.array([langs.index(r[0]) for r in rows for _ in r[2]])
+    by_label = [np.flatnonzero(labels == i) for i in range(len(langs))]
     most = max(map(len, by_label))
     even = np.concatenate([np.resize(places, most) for places in by_label])
-    return langs, train(np.array(windows)[even], np.array(labels)[even], len(langs))
+    return langs, train(windows[even], labels[even], len(langs))
 
 
 def document_probabilities(p: dict, texts: list[bytes]) -> np.ndarray:
@@ -204,8 +230,10 @@ def document_probabilities(p: dict, texts: list[bytes]) -> np.ndarray:
     return sums / lengths[:, None]
 
 
-def predict(docs: DataFrame, langs: list[str], weights: dict | None, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (all) of each row, with ``lang_pred`` and ``score``.
+def predict(
+    docs: DataFrame, langs: list[str], weights: dict | None, *, text: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")
+) -> DataFrame:
+    """The columns ``keep`` (all) of each row, with ``lang_pred`` and ``score``, or what ``names`` calls them.
 
     Every byte position of the whole text is labelled and the probabilities
     are averaged over the document. Null texts, texts without a letter, and all
@@ -214,9 +242,8 @@ def predict(docs: DataFrame, langs: list[str], weights: dict | None, *, text: st
     gives an empty one. The weights are a few kilobytes whatever the data.
     """
     ship(docs.sparkSession)
-    names = ["lang_pred", "score"]
-    kept = [c for c in (keep or docs.columns) if c.lower() not in names]
-    source = docs.select(*[docs[c].alias(f"k{i}") for i, c in enumerate(kept)], docs[text].alias("whole"))
+    kept = [c for c in (keep or docs.columns) if c.lower() not in {n.lower() for n in names}]
+    source = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(kept)], F.col(f"`{text}`").alias("whole"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -229,7 +256,7 @@ def predict(docs: DataFrame, langs: list[str], weights: dict | None, *, text: st
                 for i, row in zip(judged, probs, strict=True):
                     best = int(np.argmax(row))
                     labels[i], scores[i] = langs[best], min(1.0, round(float(row[best]), 6))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(labels, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names[:-1], *names])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(labels, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names[:-1], "lang_pred", "score"])
 
     schema = StructType(source.schema.fields[:-1]).add("lang_pred", "string").add("score", "double")
     return source.mapInArrow(run, schema).toDF(*kept, *names)
@@ -240,7 +267,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def identify(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
-    """Learn from the documents that are not held out, then judge every document by its text alone."""
-    langs, weights = learn(docs.where(~held_out(docs[doc_id])), text=text, lang=lang, doc_id=doc_id)
-    return predict(docs, langs, weights, text=text, keep=keep)
+def identify(
+    docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")
+) -> DataFrame:
+    """Learn from the documents that are not held out, then judge every document by its text alone.
+
+    Nulls, repeats, empty and very long texts, empty tables and columns of the
+    added names are as in :func:`learn` and :func:`predict`; a null id is not held out.
+    """
+    langs, weights = learn(docs.where(~held_out(F.col(f"`{doc_id}`"))), text=text, lang=lang, doc_id=doc_id)
+    return predict(docs, langs, weights, text=text, keep=keep, names=names)
