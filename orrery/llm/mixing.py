@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,8 +11,8 @@ from .common import WORD_JAVA, Scratch, fresh, keyed
 
 #: No document is taken more often than this.
 EPOCHS = 3
-#: Documents to a block of the running sums; a block is sorted in one task.
-BLOCK = 100_000
+#: Documents to a partition of the range sort.
+PART = 1_000_000
 
 
 def words(text: Column) -> Column:
@@ -76,30 +78,33 @@ def mix(
     in time go by source, id and locator, so reruns agree. An empty table gives
     an empty result.
 
-    At scale only (locator, id, source, size) move, and no task sees a whole
-    source: running sums go over blocks of a source's hash range, then within a
-    block. Fair queueing fills equal slices of virtual time equally, so slices
-    of it are balanced range partitions whatever the sources' sizes.
+    Very long texts are counted whole; columns of ``docs`` that are not named
+    here are not looked at. At scale only (locator, id, source, size) move, and
+    no task sees a whole source: running sums go over blocks of a source's hash
+    range, as many as a block has rows, then within a block. The queue is one
+    range sort by finish time; sums of its partitions find the one in which the
+    budget ends, a running sum there the document.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "mixing")
     rows, key = keyed(docs, scratch)
     narrow = rows.select(
         F.col(key).alias("row"),
-        F.col(doc_id).alias("doc_id"),
-        F.col(source).alias("source"),
-        words(F.col(text)).alias("size"),
+        F.col(f"`{doc_id}`").alias("doc_id"),
+        F.col(f"`{source}`").alias("source"),
+        words(F.col(f"`{text}`")).alias("size"),
     )
     # The one pass over the texts; everything below reads this narrow table.
     narrow = scratch.table(narrow, "sizes")
     total = narrow.count()
-    blocks = max(1, -(-total // BLOCK))
+    blocks = max(1, math.isqrt(total))
 
     sizes = narrow.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = scratch.table(targets(sizes, epochs=epochs).coalesce(1), "targets")
     budget = F.coalesce(F.max("budget"), F.lit(0))
 
-    place = F.xxhash64(F.col("doc_id"), F.lit(seed))
+    # The locator's end, too, so that rows of one id do not meet in one block.
+    place = F.xxhash64(F.col("doc_id"), F.substring_index("row", "/", -1), F.lit(seed))
     dealt = narrow.withColumns({"place": place, "block": F.pmod(F.shiftrightunsigned(place, 20), F.lit(blocks))})
     in_block = ["source", "block"]
     sums = dealt.groupBy(*in_block).agg(F.sum("size").alias("block_size"))
@@ -121,26 +126,25 @@ def mix(
         F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch"),
     )
     finish = (F.col("epoch") * F.col("source_size") + F.col("finish_words")) / F.col("target")
-    slices = max(16, blocks * 8)
+    order = ["finish", F.col("source").asc_nulls_last(), "doc_id", "row", "epoch"]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * epochs // PART))
     copies = copies.select("row", "doc_id", "source", "size", "epoch", finish.alias("finish"))
-    copies = copies.withColumn("slice", F.floor(F.col("finish") * slices))
-    # All of one slice is served before any of the next: sums of whole slices
-    # find the slice in which the budget ends, a running sum there the document.
-    by_slice = copies.groupBy("slice").agg(F.sum("size").alias("slice_size"))
-    so_far = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    by_slice = by_slice.withColumn("through", F.sum("slice_size").over(so_far))
+    queue = copies.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id())
+    queue = scratch.table(queue, "queue")
+    by_part = queue.groupBy("part").agg(F.sum("size").alias("part_size"))
+    so_far = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    by_part = by_part.withColumn("through", F.sum("part_size").over(so_far))  # one row per partition
     limit = plan.agg(budget.alias("budget"))
-    last = by_slice.crossJoin(F.broadcast(limit)).where(F.col("through") > F.col("budget"))
-    last = last.orderBy("slice").limit(1).select(F.col("slice").alias("last_slice"), (F.col("through") - F.col("slice_size")).alias("served"))
-    found = last.crossJoin(F.broadcast(limit)).first()  # one row: a slice number and two sums
+    last = by_part.crossJoin(F.broadcast(limit)).where(F.col("through") > F.col("budget"))
+    found = last.orderBy("part").withColumn("served", F.col("through") - F.col("part_size")).first()
     if found is None:
-        served = copies.select("row")
+        served = queue.select("row")
     else:
-        serving = Window.orderBy("finish", F.col("source").asc_nulls_last(), "doc_id", "row", "epoch")
-        edge = copies.where(F.col("slice") == found["last_slice"])
+        serving = Window.partitionBy("part").orderBy(*order)
+        edge = queue.where(F.col("part") == found["part"])
         edge = edge.withColumn("through", F.sum("size").over(serving.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
         edge = edge.where(F.col("through") + F.lit(found["served"]) <= F.lit(found["budget"])).select("row")
-        served = copies.where(F.col("slice") < found["last_slice"]).select("row").unionAll(edge)
+        served = queue.where(F.col("part") < found["part"]).select("row").unionAll(edge)
     times = served.groupBy("row").agg(F.count("*").alias("times"))
     decided = queued.join(times, "row", "left").select(
         "row", "doc_id", "size", "source_size", "target",
@@ -151,7 +155,11 @@ def mix(
 
 
 def taken_rows(docs: DataFrame, **settings) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken, with the columns of ``docs``."""
+    """The mix itself: each row of ``docs`` as often as it is taken, with the columns of ``docs``.
+
+    Null and empty texts and those of no word are never taken; ties, repeated
+    rows, very long texts and empty tables are as in :func:`mix`.
+    """
     scratch = settings.pop("scratch", None) or Scratch(docs.sparkSession, "mixing")
     rows, key = keyed(docs, scratch)
     decided, _ = mix(docs, scratch=scratch, **settings)
@@ -159,4 +167,4 @@ def taken_rows(docs: DataFrame, **settings) -> DataFrame:
     chosen = decided.where(F.col("times") > 0).select(F.col(decided.columns[0]).alias(key), F.col("times").alias(times))
     copy = fresh(docs, "_copy")
     taken = rows.join(chosen, key).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times))))
-    return taken.select(*[taken[c] for c in docs.columns])
+    return taken.select(*[F.col(f"`{c}`") for c in docs.columns])
