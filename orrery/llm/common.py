@@ -48,12 +48,13 @@ def fresh(df: DataFrame, stem: str) -> str:
     return stem
 
 
-def keyed(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, str]:
+def keyed(docs: DataFrame, scratch: Scratch, *, paths: bool = False) -> tuple[DataFrame, str]:
     """``docs`` with a column that names each row for good: file and row index, the content's locator.
 
     Rows that do not come straight from files are written to a scratch table
     first, so that the locator survives recomputation; there it is the part's
-    number and the row index, the same in every run that deals rows alike.
+    number and the row index, the same in every run that deals rows alike, or
+    with ``paths`` the file there.
     """
     name = fresh(docs, "_row_locator")
     where: Column = F.concat_ws("#", F.col("_metadata.file_path"), F.col("_metadata.row_index").cast("string"))
@@ -66,7 +67,7 @@ def keyed(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, str]:
         if "_metadata" not in str(error):
             raise
     part = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1)
-    numbered = F.concat_ws("#", part, F.col("_metadata.row_index").cast("string"))
+    numbered = where if paths else F.concat_ws("#", part, F.col("_metadata.row_index").cast("string"))
     for seen, written in scratch.rows:
         if seen is docs:
             return written.withColumn(name, numbered), name

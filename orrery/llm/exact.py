@@ -6,9 +6,11 @@ aggregation held by Spark's own disk-backed provider.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, fresh, keyed
@@ -31,37 +33,49 @@ def duplicates(
     text: str = "text",
     doc_id: str = "doc_id",
     digest: Callable[[Column], Column] = sha256,
+    batches: int = 2,
+    state: str | None = None,
     scratch: Scratch | None = None,
 ) -> tuple[DataFrame, str]:
     """Per row of ``docs``: locator, doc_id, keep_id, group_size, kept, text_sha256; and the locator's name.
 
     Texts are equal when their bytes are; null counts as empty. Of equal texts
     the row of the largest doc_id stays (null ids come before all others; among
-    repeated ids, the row of the last locator). An empty table gives an empty
-    result, other columns of ``docs`` are not looked at.
-
-    The rows' digests go through a stream whose state, keyed by digest and
-    without expiry, holds the number of rows and the row that stays: its
-    identifier and the locator of its content. Equal digests are then compared
-    byte by byte with the content so located; rows that share a digest but not
-    the text (no matter how weak ``digest`` is) form groups of their own. Rows
-    of a hot digest are counted before they are shuffled; their comparison is a
-    join that adaptive execution splits.
+    repeated ids, the row of the last locator). Very long texts are compared
+    whole. An empty table gives an empty result, other columns of ``docs`` are
+    not looked at.
+
+    The rows' digests go in ``batches`` micro-batches through a stream whose
+    state, keyed by digest and without expiry, holds the number of rows and the
+    row that stays: its identifier and the locator of its content. With
+    ``state``, a shared folder that the caller owns, checkpoint and state stay
+    there: a later call with other rows finds the digests of all earlier ones,
+    so ``keep_id`` and ``group_size`` are then of all rows ever given. The
+    folder must not be used by two calls at once.
+
+    Digests that the state has more than one row for are hits: their rows are
+    compared byte by byte with the content that the state locates, in this
+    table or in the files of an earlier call; rows that share a digest but not
+    the text (no matter how weak ``digest`` is) form groups of their own among
+    the rows of this call. Rows of a hot digest are counted before they are
+    shuffled; their comparison is a join that adaptive execution splits.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "exact")
-    rows, key = keyed(docs, scratch)
-    whole = F.coalesce(F.col(text), F.lit(""))
-    source = rows.select(F.col(key).alias("row"), F.col(doc_id).alias("doc_id"), whole.alias("text"))
+    rows, key = keyed(docs, Scratch(spark, "exact", f"{state}/content-{uuid.uuid4().hex}") if state else scratch, paths=state is not None)
+    whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    source = rows.select(F.col(key).alias("row"), F.col(f"`{doc_id}`").alias("doc_id"), whole.alias("text"))
     source = source.withColumn("digest", digest(F.col("text")))
     narrow = scratch.table(source.select("row", "doc_id", "digest"), "digests")
 
-    state = _through_state(narrow, scratch)
-    several = state.where(F.col("rows") > 1).select(F.col("digest").alias("d"), F.col("keep.row").alias("keep_row"))
-    members = source.join(several, source["digest"] == several["d"]).select("digest", "row", "doc_id", "text", "keep_row")
+    found = _through_state(narrow, state or scratch.path("stream"), batches, scratch)
+    several = found.where(F.col("rows") > 1).select(F.col("digest").alias("d"), F.col("keep.row").alias("keep_row"))
+    members = source.join(several, F.col("digest") == F.col("d")).select("digest", "row", "doc_id", "text", "keep_row")
     members = scratch.table(members, "hits")
     content = members.where(F.col("row") == F.col("keep_row")).select(F.col("digest").alias("d"), F.col("text").alias("kept_text"))
-    compared = members.join(content, members["digest"] == content["d"]).where(F.col("text") != F.col("kept_text"))
+    if state:
+        content = content.unionAll(_earlier(members, content, text, spark))
+    compared = members.join(content, F.col("digest") == F.col("d")).where(F.col("text") != F.col("kept_text"))
     other = scratch.table(compared.select("digest", "row", "doc_id", "text"), "collisions")
     # Rows of a shared digest whose bytes differ from the located content.
     last = F.max(F.struct("doc_id", "row")).alias("keep")
@@ -70,7 +84,7 @@ def duplicates(
     apart = apart.select(F.col("row").alias("a_row"), F.col("keep").alias("a_keep"), F.col("rows").alias("a_rows"))
     fewer = other.groupBy(F.col("digest").alias("f_digest")).agg(F.count("*").alias("fewer"))
 
-    decided = narrow.join(state.withColumnRenamed("digest", "d"), F.col("digest") == F.col("d")).drop("d")
+    decided = narrow.join(found.withColumnRenamed("digest", "d"), F.col("digest") == F.col("d")).drop("d")
     if not other.isEmpty():
         decided = decided.join(fewer, F.col("digest") == F.col("f_digest"), "left").join(apart, F.col("row") == F.col("a_row"), "left")
         decided = decided.withColumn("rows", F.coalesce("a_rows", F.col("rows") - F.coalesce("fewer", F.lit(0))))
@@ -85,49 +99,65 @@ def duplicates(
     ), key
 
 
-def _through_state(narrow: DataFrame, scratch: Scratch) -> DataFrame:
-    """The state after all rows: per digest the row that stays and the number of rows."""
+def _earlier(members: DataFrame, content: DataFrame, text: str, spark: SparkSession) -> DataFrame:
+    """The located content (d, kept_text) of hits whose row that stays came with an earlier call."""
+    away = members.select("digest", "keep_row").distinct().join(content, F.col("digest") == F.col("d"), "left_anti")
+    files = [r.file for r in away.select(F.substring_index("keep_row", "#", 1).alias("file")).distinct().collect()]  # names of files only
+    if not files:
+        return content.limit(0)
+    where = F.concat_ws("#", F.col("_metadata.file_path"), F.col("_metadata.row_index").cast("string"))
+    stored = spark.read.parquet(*map(unquote, files)).select(where.alias("at"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("kept_text"))
+    return stored.join(away, F.col("at") == F.col("keep_row")).select(F.col("digest").alias("d"), "kept_text")
+
+
+def _through_state(narrow: DataFrame, folder: str, count: int, scratch: Scratch) -> DataFrame:
+    """The state after all rows of the digests of ``narrow``: per digest the row that stays and the number of rows.
+
+    Rows arrive in ``count`` parts, each a micro-batch that finds the state as
+    the one before left it; what a batch changed is written under its number,
+    so a batch that is run again writes the same.
+    """
     spark = narrow.sparkSession
     before = {name: spark.conf.get(name, None) for name in STORE}
     for name, value in STORE.items():
         spark.conf.set(name, value)
     kept = F.max(F.struct("doc_id", "row")).alias("keep")
-    stream = spark.readStream.schema(narrow.schema).parquet(scratch.path("digests"))
-    state = stream.groupBy("digest").agg(kept, F.count("*").alias("rows"))
-    schema = state.schema
+    arrivals = f"{folder}/arrivals"
     updates = scratch.path("updates")
+    part = F.pmod(F.xxhash64("row"), F.lit(count))
+    changed: list[int] = []
+
+    def write(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{updates}/batch={n}")
+        changed.append(n)
+
     try:
-        query = (
-            state.writeStream.outputMode("update")
-            .option("checkpointLocation", scratch.path("state"))
-            .trigger(availableNow=True)
-            .foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{updates}/batch={n}"))
-            .start()
-        )
-        query.awaitTermination()
+        for i in range(count):
+            narrow.where(part == i).write.mode("append").parquet(arrivals)
+            stream = spark.readStream.schema(narrow.schema).parquet(arrivals)
+            state = stream.groupBy("digest").agg(kept, F.count("*").alias("rows"))
+            query = state.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
+            query.awaitTermination()
     finally:
         for name, value in before.items():
             if value is None:
                 spark.conf.unset(name)
             else:
                 spark.conf.set(name, value)
-    batches = query.lastProgress
-    if batches is None:
-        return spark.createDataFrame([], schema)
-    found = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(updates)
-    if batches["batchId"] == 0:
-        return found
-    # A digest is updated by every batch that holds it; its last state has the largest count.
+    if not changed:
+        return spark.createDataFrame([], state.schema)
+    found = spark.read.schema(state.schema).option("recursiveFileLookup", "true").parquet(updates)
+    # A digest is changed by every batch that holds it; its last state has the largest count.
     latest = found.groupBy("digest").agg(F.max_by(F.struct("keep", "rows"), "rows").alias("s"))
     return latest.select("digest", "s.keep", "s.rows")
 
 
 def distinct_rows(docs: DataFrame, **settings) -> DataFrame:
-    """The rows of ``docs`` that stay, with its columns."""
+    """The rows of ``docs`` that stay, with its columns; nulls, ties, repeats and empty tables as in :func:`duplicates`."""
     scratch = settings.pop("scratch", None) or Scratch(docs.sparkSession, "exact")
     rows, key = keyed(docs, scratch)
     found, locator = duplicates(docs, scratch=scratch, **settings)
     mark = fresh(rows, "_stays")
     stay = found.where("kept").select(F.col(locator).alias(mark))
-    kept = rows.join(stay, rows[key] == stay[mark], "left_semi")
-    return kept.select(*[kept[c] for c in docs.columns])
+    kept = rows.join(stay, F.col(key) == F.col(mark), "left_semi")
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
