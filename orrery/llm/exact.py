@@ -149,7 +149,8 @@ def _through_state(narrow: DataFrame, folder: str, count: int, scratch: Scratch)
     found = spark.read.schema(state.schema).option("recursiveFileLookup", "true").parquet(updates)
     # A digest is changed by every batch that holds it; its last state has the largest count.
     latest = found.groupBy("digest").agg(F.max_by(F.struct("keep", "rows"), "rows").alias("s"))
-    return latest.select("digest", "s.keep", "s.rows")
+    # Written, so that adaptive execution may split the joins of a hot digest.
+    return scratch.table(latest.select("digest", "s.keep", "s.rows"), "found")
 
 
 def distinct_rows(docs: DataFrame, **settings) -> DataFrame:
