@@ -171,7 +171,8 @@ def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: st
     place = F.shiftrightunsigned(F.xxhash64(F.col(f"`{doc_id}`").cast("string"), value, F.lit(11)), 1)
     labelled = docs.where(name.isNotNull() & value.rlike(r"\p{L}"))
     narrow = scratch.table(labelled.select(name.alias("lang"), place.alias("place")), "places")
-    counts = narrow.groupBy("lang").agg(F.count("*").alias("n"))
+    # One row a language, written, so that its size decides how it is joined before any row is shuffled.
+    counts = scratch.table(narrow.groupBy("lang").agg(F.count("*").alias("n")), "counts")
     bound = F.least(F.lit(1.0), F.lit(4.0) * sample / F.col("n")) * float(1 << 63)
     under = narrow.join(counts, "lang").where(F.col("place") <= bound).select("lang", "place").distinct()
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("place"))
