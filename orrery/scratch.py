@@ -1,11 +1,13 @@
-"""Tables in the folder that all executors share."""
+"""Tables in the folder that all executors share, and this package on the executors."""
 
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,3 +53,27 @@ class Scratch:
         jvm, jsc = self.spark._jvm, self.spark._jsc
         path = jvm.org.apache.hadoop.fs.Path(self.path(name))
         path.getFileSystem(jsc.hadoopConfiguration()).delete(path, True)
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, as ``--py-files`` would.
+
+    The archive is read by the driver alone, which serves it to the executors.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    if os.path.isdir(root):  # else it runs from an archive already
+        target = os.path.join(tempfile.mkdtemp(prefix="orrery-code-"), "orrery_code.zip")
+        with zipfile.ZipFile(target, "w") as z:
+            for folder, _, names in os.walk(root):
+                for name in sorted(names):
+                    if name.endswith(".py"):
+                        full = os.path.join(folder, name)
+                        z.write(full, os.path.relpath(full, os.path.dirname(root)))
+        sc.addPyFile(target)
+    _shipped.add(sc.applicationId)
