@@ -2,44 +2,17 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.scratch import Scratch, shared_dir
+from orrery.scratch import Scratch, shared_dir, ship  # noqa: F401  shared by the operators
 
 #: A word everywhere in this subpackage: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_JAVA = r"[^\x20\x09-\x0D]+"
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, as ``--py-files`` would.
-
-    The archive is read by the driver alone, which serves it to the executors.
-    """
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    if os.path.isdir(root):  # else it runs from an archive already
-        target = os.path.join(tempfile.mkdtemp(prefix="orrery-code-"), "orrery_code.zip")
-        with zipfile.ZipFile(target, "w") as z:
-            for folder, _, names in os.walk(root):
-                for name in sorted(names):
-                    if name.endswith(".py"):
-                        full = os.path.join(folder, name)
-                        z.write(full, os.path.relpath(full, os.path.dirname(root)))
-        sc.addPyFile(target)
-    _shipped.add(sc.applicationId)
-
-
 def fresh(df: DataFrame, stem: str) -> str:
     """``stem``, lengthened until no column of ``df`` has that name in any case."""
     taken = {c.lower() for c in df.columns}
