@@ -29,7 +29,7 @@ def _query(spark, sf) -> list[float]:
 
 
 def _assets(spark, sf):
-    tags = F.split(F.lower("p_type"), " ")
+    tags = F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " ")
     return _read(spark, sf, "part").select(F.col("p_partkey").alias("id"), tags.alias("tags"), F.col("p_size").cast("long").alias("size_bytes"), "p_name")
 
 
@@ -44,7 +44,7 @@ def _jobs(spark, sf):
 _RANKED = """SELECT e.vec_id AS id, e.label, 1 - list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) /
     (sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))) AS d
     FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q"""
-_ASSETS = "(SELECT p_partkey AS id, string_split(lower(p_type), ' ') AS tags, p_size AS size_bytes FROM part)"
+_ASSETS = "(SELECT p_partkey AS id, string_split(lower(p_name || ' ' || p_type), ' ') AS tags, p_size AS size_bytes FROM part)"
 _JOBS = """(SELECT o_orderkey AS id, o_custkey AS asset_id, o_orderpriority AS model, o_orderdate AS available_at, o_orderdate AS created_at,
     CASE o_orderstatus WHEN 'O' THEN 'pending' WHEN 'F' THEN 'done' ELSE 'running' END AS status FROM orders)"""
 
@@ -77,15 +77,18 @@ def batch_top_k(spark, sf):
 
 
 def tags_all(spark, sf):
-    return _assets(spark, sf).where(C.tags_all(F.col("tags"), ["promo", "steel"])).select("id")
+    return _assets(spark, sf).where(C.tags_all(F.col("tags"), ["promo", "plate"])).select("id")
 
 
 def tags_any(spark, sf):
-    return _assets(spark, sf).where(C.tags_any(F.col("tags"), ["promo", "steel"])).select("id")
+    return _assets(spark, sf).where(C.tags_any(F.col("tags"), ["promo", "plate"])).select("id")
 
 
 def meta_typed(spark, sf):
-    return _read(spark, sf, "events").select("event_id", C.meta_equals(F.col("props"), "k", "69").alias("matches"))
+    """Clicks have the number as text: only they match."""
+    as_text = F.concat(F.lit('{"k":"'), F.get_json_object("props", "$.k"), F.lit('"}'))
+    props = F.when(F.col("event_type") == "click", as_text).otherwise(F.col("props"))
+    return _read(spark, sf, "events").select("event_id", C.meta_equals(props, "k", "69").alias("matches"))
 
 
 def tag_counts(spark, sf):
@@ -132,7 +135,7 @@ def missing_vector(spark, sf):
 
 def coverage(spark, sf):
     v = _vectors(spark, sf)
-    return v.where("id % 2 = 0").select("id").join(v.where("label > 3").select("id"), "id", "left_anti").agg(F.count("*").alias("uncovered"))
+    return v.select("id").join(v.where("label > 3").select("id"), "id", "left_anti").agg(F.count("*").alias("uncovered"))
 
 
 def newest_page(spark, sf):
@@ -140,12 +143,12 @@ def newest_page(spark, sf):
 
 
 def bounded_count(spark, sf):
-    return _assets(spark, sf).where(C.tags_any(F.col("tags"), ["steel"])).limit(50).agg(F.count("*").alias("n"))
+    return _assets(spark, sf).where(C.tags_any(F.col("tags"), ["plate"])).limit(50).agg(F.count("*").alias("n"))
 
 
 def upserted(spark, sf):
     old = _vectors(spark, sf).select("id", "label")
-    return J.upsert(old, old.where("id % 10 = 0").withColumn("label", F.col("label") + 100), ["id"])
+    return J.upsert(old, old.where("label > 6").withColumn("label", F.col("label") + 100), ["id"])
 
 
 def content_identity(spark, sf):
@@ -154,15 +157,12 @@ def content_identity(spark, sf):
 
 
 def percentile(spark, sf):
-    ranked = _read(spark, sf, "orders").groupBy("o_orderpriority").agg(F.percentile_disc(0.95).withinGroup(F.col("o_totalprice")).alias("p95")) if hasattr(F, "percentile_disc") else None
-    if ranked is None:
-        _read(spark, sf, "orders").createOrReplaceTempView("orrery_orders")
-        ranked = spark.sql("SELECT o_orderpriority, percentile_disc(0.95) WITHIN GROUP (ORDER BY o_totalprice) AS p95 FROM orrery_orders GROUP BY 1")
-    return ranked
+    nearest_rank = F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY o_totalprice)")
+    return _read(spark, sf, "orders").groupBy("o_orderpriority").agg(nearest_rank.alias("p95"))
 
 
 def normal_tags(spark, sf):
-    return _read(spark, sf, "part").select("p_partkey", C.normalise_tag(F.col("p_brand")).alias("tag"))
+    return _read(spark, sf, "part").select("p_partkey", C.normalise_tag(F.concat(F.lit(" "), F.when(F.col("p_size") > 30, F.col("p_brand")).otherwise(F.col("p_type")))).alias("tag"))
 
 
 def concept_recall(spark, sf):
@@ -194,9 +194,9 @@ ORACLE_SQL = {
     "threshold_page": f"""WITH c AS (SELECT * FROM (SELECT id, d, row_number() OVER (ORDER BY d, id) AS place FROM ({_RANKED})) WHERE place <= 21 AND d <= 0.8)
         SELECT id, round(d, 9) AS distance, (SELECT max(place) > 20 FROM c) AS has_more FROM c WHERE place <= 20""",
     "batch_top_k": f"SELECT query_id, id, rank::INTEGER AS rank, round(d, 9) AS distance FROM ({_BATCH})",
-    "tags_all": f"SELECT id FROM {_ASSETS} WHERE list_has_all(tags, ['promo', 'steel'])",
-    "tags_any": f"SELECT id FROM {_ASSETS} WHERE list_has_any(tags, ['promo', 'steel'])",
-    "meta_typed": "SELECT event_id, coalesce(json_extract(props, '$.k')::VARCHAR = '\"69\"', false) AS matches FROM events",
+    "tags_all": f"SELECT id FROM {_ASSETS} WHERE list_has_all(tags, ['promo', 'plate'])",
+    "tags_any": f"SELECT id FROM {_ASSETS} WHERE list_has_any(tags, ['promo', 'plate'])",
+    "meta_typed": "SELECT event_id, coalesce(event_type = 'click' AND json_extract(props, '$.k')::VARCHAR = '69', false) AS matches FROM events",
     "tag_counts": f"SELECT tag, count(*) AS n FROM (SELECT unnest(list_distinct(tags)) AS tag FROM {_ASSETS}) GROUP BY tag ORDER BY n DESC, tag LIMIT 10",
     "summary": f"SELECT count(*) AS assets, coalesce(sum(size_bytes), 0)::BIGINT AS size_bytes FROM {_ASSETS}",
     "jobs_by_status": f"SELECT model, status, count(*) AS n FROM {_JOBS} GROUP BY ALL",
@@ -210,12 +210,12 @@ ORACLE_SQL = {
         OR (status = 'running' AND available_at < {NOW}) ORDER BY available_at, id LIMIT 16""",
     "has_work": f"SELECT c_custkey AS id FROM customer WHERE c_custkey IN (SELECT asset_id FROM {_JOBS} WHERE status = 'pending')",
     "missing_vector": "SELECT c_custkey AS id FROM customer WHERE NOT EXISTS (SELECT 1 FROM embeddings WHERE label < 5 AND vec_id = c_custkey)",
-    "coverage": "SELECT count(*) AS uncovered FROM embeddings WHERE vec_id % 2 = 0 AND vec_id NOT IN (SELECT vec_id FROM embeddings WHERE label > 3)",
+    "coverage": "SELECT count(*) AS uncovered FROM embeddings WHERE vec_id NOT IN (SELECT vec_id FROM embeddings WHERE label > 3)",
     "newest_page": f"SELECT id, created_at FROM {_JOBS} ORDER BY created_at DESC, id DESC LIMIT 21 OFFSET 10",
-    "bounded_count": f"SELECT least(50, count(*)) AS n FROM {_ASSETS} WHERE list_has_any(tags, ['steel'])",
-    "upserted": "SELECT vec_id AS id, CASE WHEN vec_id % 10 = 0 THEN label + 100 ELSE label END AS label FROM embeddings",
+    "bounded_count": f"SELECT least(50, count(*)) AS n FROM {_ASSETS} WHERE list_has_any(tags, ['plate'])",
+    "upserted": "SELECT vec_id AS id, CASE WHEN label > 6 THEN label + 100 ELSE label END AS label FROM embeddings",
     "content_identity": "SELECT sha256(text) AS sha256, min(doc_id) AS stored, count(*) - 1 AS duplicates FROM documents WHERE text IS NOT NULL GROUP BY 1",
     "percentile": "SELECT o_orderpriority, quantile_disc(o_totalprice, 0.95) AS p95 FROM orders GROUP BY 1",
-    "normal_tags": "SELECT p_partkey, CASE WHEN regexp_full_match(lower(trim(p_brand)), '[a-z0-9][a-z0-9_-]{0,63}') THEN lower(trim(p_brand)) END AS tag FROM part",
+    "normal_tags": "SELECT p_partkey, CASE WHEN regexp_full_match(lower(raw), '[a-z0-9][a-z0-9_-]{0,63}') THEN lower(raw) END AS tag FROM (SELECT p_partkey, CASE WHEN p_size > 30 THEN p_brand ELSE p_type END AS raw FROM part)",
     "concept_recall": f"SELECT query_id, round(avg((label = own)::INTEGER), 9) AS recall FROM ({_BATCH}) GROUP BY query_id",
 }

@@ -146,7 +146,7 @@ def outcomes(arriving: DataFrame, assets: DataFrame, *order: str) -> DataFrame:
     Content that is stored is a duplicate of its asset; of equal new contents
     the first by ``order`` is created and the others are duplicates of it.
     """
-    place = F.struct(*[F.col(c) for c in order or ("id",)], "id")
+    place = F.struct(*dict.fromkeys((*order, "id")))
     first = arriving.groupBy("sha256").agg(F.min(place).alias("first")).select("sha256", F.col("first.id").alias("first_id"))
     stored = assets.select("sha256", F.col("id").alias("stored_id"))
     joined = arriving.join(first, "sha256").join(stored, "sha256", "left")

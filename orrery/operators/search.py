@@ -122,7 +122,8 @@ def page(
 def envelope(found: Page, *, limit: int, offset: int, model: str, encoder: str | None = None, truncated: bool = False, prefix: str = "/assets") -> DataFrame:
     """A page as one row of JSON: its items with links, and what the request asked for."""
     item = F.struct(F.struct("id", "source", "tags", "meta", F.col("statuses").alias("index_status"), C.links(F.col("id"), prefix).alias("links")).alias("asset"), "score")
-    items = found.items.agg(F.array_sort(F.collect_list(F.struct("place", item.alias("item")))).alias("rows"))  # one page
+    by_place = lambda a, b: a["place"] - b["place"]
+    items = found.items.agg(F.array_sort(F.collect_list(F.struct("place", item.alias("item"))), by_place).alias("rows"))  # one page
     said = {"limit": limit, "offset": offset, "has_more": found.has_more, "model": model, "encoder": encoder, "query_truncated": truncated, "scan_limited": found.scan_limited}
     columns = [F.lit(v).cast("string" if k == "encoder" else "int" if k in ("limit", "offset") else "string" if k == "model" else "boolean").alias(k) for k, v in said.items()]
     whole = F.struct(F.transform("rows", lambda r: r["item"]).alias("items"), *columns)
