@@ -7,32 +7,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm import bpe, exact, language, mixing, simhash
-from orrery.llm.common import Scratch
+from orrery.llm.common import Scratch, fresh
 
 #: A document whose best language has less than this mean probability is rejected.
 LEAST_SCORE = 0.4
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a known language; those without a letter or of no clear language go."""
-    found = language.identify(docs.withColumn("lang_", F.col("lang")), lang="lang_")
-    return found.where((F.col("lang_pred") != language.NONE) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    """Documents of a known language; those without a letter or of no clear language go.
+
+    So null and empty texts go. Repeated rows are each judged, very long texts
+    are read whole, columns of any name stay as they are; an empty table, or one
+    without a label to learn from, gives an empty one.
+    """
+    names = fresh(docs, "lang_pred"), fresh(docs, "score")
+    found = language.identify(docs, names=names)
+    return found.where((F.col(names[0]) != language.NONE) & (F.col(names[1]) >= LEAST_SCORE)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document of the largest id; nulls, ties, repeats, long texts and empty tables as in :func:`exact.duplicates`."""
     return exact.distinct_rows(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.one_of_each(docs)
+    """Of texts whose sets of five-word shingles have a similarity of 0.8 or more, one; the rest as in :func:`simhash.similar`."""
+    return simhash.one_of_each(docs, width=5, similarity=0.8)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it; nulls, ties, repeats, long texts and empty tables as in :func:`mixing.mix`."""
     return mixing.taken_rows(docs)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, digests=True)
+    """Token ids of every document, and digests of them and of the bytes they decode to; a null text has no ids, the rest as in :func:`bpe.encode`."""
+    narrow = docs.select("doc_id", "source", "text")
+    found = bpe.encode(narrow, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, digests=True)
     return found.select("doc_id", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
 

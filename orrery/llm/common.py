@@ -31,14 +31,8 @@ def keyed(docs: DataFrame, scratch: Scratch, *, paths: bool = False) -> tuple[Da
     """
     name = fresh(docs, "_row_locator")
     where: Column = F.concat_ws("#", F.col("_metadata.file_path"), F.col("_metadata.row_index").cast("string"))
-    try:
-        found = docs.withColumn(name, where)
-        found.schema  # noqa: B018  analysis fails here when there is no file behind the rows
-        if _straight_from_files(docs):
-            return found, name
-    except Exception as error:
-        if "_metadata" not in str(error):
-            raise
+    if _straight_from_files(docs):
+        return docs.withColumn(name, where), name
     part = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1)
     numbered = where if paths else F.concat_ws("#", part, F.col("_metadata.row_index").cast("string"))
     for seen, written in scratch.rows:
@@ -50,10 +44,8 @@ def keyed(docs: DataFrame, scratch: Scratch, *, paths: bool = False) -> tuple[Da
 
 
 def _straight_from_files(docs: DataFrame) -> bool:
-    plan = docs._jdf.queryExecution().optimizedPlan().toString()
-    return plan.count("\n") == 1 and plan.startswith("Relation") or all(
-        line.lstrip(" +-:").startswith(("Project", "Filter", "Relation")) for line in plan.strip().split("\n")
-    )
+    lines = [line.lstrip(" +-:") for line in docs._jdf.queryExecution().optimizedPlan().toString().strip().split("\n")]
+    return lines[-1].startswith("Relation") and all(line.startswith(("Project", "Filter", "Relation")) for line in lines)
 
 
 class TwoGenerations(dict):

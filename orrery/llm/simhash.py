@@ -1,7 +1,13 @@
-"""SimHash near-duplicates: fingerprints, bit-sliced comparison in blocks, components."""
+"""SimHash near-duplicates: fingerprints, bit-sliced comparison in blocks, components.
+
+:func:`near_duplicates` links 64-bit fingerprints a few bits apart;
+:func:`similar` and :func:`one_of_each` link texts by the similarity of their
+shingle sets, by wider fingerprints.
+"""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -11,13 +17,14 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructType
 
-from .common import WORD, Scratch, fresh, keyed, pieces_of, ship
+from .common import WORD, Scratch, keyed, pieces_of, ship
 from .components import stars
 
 #: Two fingerprints link when at most so many bits differ.
 RADIUS = 3
-#: The 64 bits are cut in this many bands; all but RADIUS of them make a key, so linked fingerprints share one.
+#: The 64 bits are cut in at least this many bands; all but RADIUS of them make a key, so linked fingerprints share one.
 BANDS = 5
 #: Fingerprints compared in one block; larger groups are dealt in blocks of this size.
 BLOCK = 4096
@@ -28,8 +35,8 @@ _CUT = regex.compile(r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def shingle_counts(words: list[bytes], width: int) -> tuple[int, np.ndarray]:
-    """The number of shingles, and in how many of them each bit of the hash is set."""
+def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
+    """The hash of each shingle of ``width`` words, of all words where they are fewer."""
     if len(words) <= width:
         shingles = [b" ".join(words)]
     else:
@@ -38,8 +45,21 @@ def shingle_counts(words: list[bytes], width: int) -> tuple[int, np.ndarray]:
         starts = np.concatenate(([0], ends[:-1]))
         shingles = [joined[a:b] for a, b in zip(starts[: len(words) - width + 1].tolist(), (ends[width - 1 :] - 1).tolist(), strict=True)]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter([digest(s, SEED) for s in shingles], np.uint64, len(shingles))
-    return len(shingles), set_bits(hashes)
+    return np.fromiter([digest(s, SEED) for s in shingles], np.uint64, len(shingles))
+
+
+def hashes_of(text: str | None, width: int) -> Iterator[np.ndarray]:
+    """The shingle hashes of a whole text, piece by piece; nothing where it has no word."""
+    tail, some = [], False
+    for piece in pieces_of(text or "", _CUT):
+        words = tail + _WORDS(piece.encode().translate(_LOWER))
+        if len(words) >= width:
+            yield shingle_hashes(words, width)
+            some, tail = True, words[len(words) - width + 1 :]
+        else:
+            tail = words
+    if tail and not some:
+        yield shingle_hashes(tail, width)
 
 
 def set_bits(hashes: np.ndarray) -> np.ndarray:
@@ -53,23 +73,14 @@ def set_bits(hashes: np.ndarray) -> np.ndarray:
 
 def fingerprint(text: str | None, width: int = 3) -> int:
     """The 64-bit SimHash of a whole text; 0 where it has no word."""
-    count, bits, tail = 0, np.zeros(64, np.int64), []
-    for piece in pieces_of(text or "", _CUT):
-        words = tail + _WORDS(piece.encode().translate(_LOWER))
-        if len(words) >= width:
-            n, more = shingle_counts(words, width)
-            count, bits, tail = count + n, bits + more, words[len(words) - width + 1 :]
-        else:
-            tail = words
-    if not count:
-        if not tail:
-            return 0
-        count, bits = shingle_counts(tail, width)
-    return sum(1 << i for i in range(64) if 2 * int(bits[i]) > count)
+    count, bits = 0, np.zeros(64, np.int64)
+    for hashes in hashes_of(text, width):
+        count, bits = count + len(hashes), bits + set_bits(hashes)
+    return sum(1 << i for i in range(64) if 2 * int(bits[i]) > count) if count else 0
 
 
 def fingerprints(docs: DataFrame, *, text: str = "text", width: int = 3, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of each row and ``fp``, its text's SimHash as a signed long.
+    """The columns ``keep`` (none of them named ``fp``) of each row and ``fp``, its text's SimHash as a signed long.
 
     Words are runs of anything but ASCII white space, A to Z lower-cased;
     shingles of ``width`` words count as often as they occur, fewer words make
@@ -77,18 +88,16 @@ def fingerprints(docs: DataFrame, *, text: str = "text", width: int = 3, keep: l
     texts are hashed piece by piece, whole.
     """
     ship(docs.sparkSession)
-    source = docs.select(*[docs[c] for c in keep], docs[text].alias("_whole_text"))
+    source = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{text}`").alias("whole"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
-                found = np.array([fingerprint(v.as_py(), width) for v in batch.column("_whole_text")], np.uint64)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(found.view(np.int64))], [*keep, "fp"])
+                found = np.array([fingerprint(v.as_py(), width) for v in batch.column("whole")], np.uint64)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found.view(np.int64))], [*batch.schema.names[:-1], "fp"])
 
-    from pyspark.sql.types import StructType
-
-    return source.mapInArrow(run, StructType([source.schema[c] for c in keep]).add("fp", "long"))
+    return source.mapInArrow(run, StructType(source.schema.fields[:-1]).add("fp", "long")).toDF(*keep, "fp")
 
 
 def band_keys(bands: int = BANDS, radius: int = RADIUS) -> list[tuple[int, int]]:
@@ -98,6 +107,18 @@ def band_keys(bands: int = BANDS, radius: int = RADIUS) -> list[tuple[int, int]]
     return list(enumerate(sum(chosen) for chosen in combinations(masks, bands - radius)))
 
 
+def bands_for(count: int, radius: int = RADIUS) -> int:
+    """So many bands that a key has at least as many bits as it takes to number ``count`` fingerprints, up to half of the 64 and a few.
+
+    With more bands a key has more bits and there are more keys: 10 of 26 bits
+    up to 6e7 fingerprints, 20 of 32 up to 4e9, 35 of 37 up to 1e11.
+    """
+    bands = max(BANDS, radius + 2)
+    while 64 * (bands - radius) // bands < count.bit_length() and bands < 2 * radius + 4:
+        bands += 1
+    return bands
+
+
 def planes_of(values: np.ndarray) -> np.ndarray:
     """Bit planes: row i holds bit i of all ``values``, 64 of them to a word."""
     padded = np.zeros(-(-len(values) // 64) * 64, np.uint64)
@@ -184,15 +205,16 @@ def forest(left: np.ndarray, right: np.ndarray | None, radius: int = RADIUS) ->
     return edges
 
 
-def links(distinct: DataFrame, scratch: Scratch, *, radius: int = RADIUS, bands: int = BANDS, block: int = BLOCK) -> DataFrame:
+def links(distinct: DataFrame, scratch: Scratch, *, radius: int = RADIUS, bands: int | None = None, block: int = BLOCK) -> DataFrame:
     """From distinct fingerprints (``fp``) edges (a, b) whose components are those of all links.
 
-    A fingerprint goes out once under each of its band keys; all links share a
-    key. A key's group is compared bit-sliced in one task, or, where it holds
+    A fingerprint goes out once under each of its band keys, whose width grows
+    with the number of fingerprints; all links share a key. A key's group is compared bit-sliced in one task, or, where it holds
     more than ``block``, dealt in parts of about ``block`` whose every pair of
     parts is a group of its own. So no group exceeds two blocks and none is cut.
     """
     ship(distinct.sparkSession)
+    bands = bands or bands_for(distinct.count(), radius)
     keys = F.array(
         *[F.struct(F.lit(n).alias("n"), F.col("fp").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)).alias("bits")) for n, mask in band_keys(bands, radius)]
     )
@@ -269,7 +291,7 @@ def near_duplicates(
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "simhash")
     rows, key = keyed(docs, scratch)
-    chosen = rows.select(F.col(key).alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    chosen = rows.select(F.col(key).alias("row"), F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     prints = scratch.table(fingerprints(chosen, width=width, keep=["row", "doc_id"]), "prints")
     classes = scratch.table(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     roots = stars(links(classes.select("fp"), scratch, radius=radius), scratch)
@@ -279,15 +301,257 @@ def near_duplicates(
     return prints.join(by_print, "fp").select(F.col("row").alias(key), "doc_id", "fp", "component_id", "root"), key
 
 
+# --- similar texts: wider fingerprints, so that a similarity of 0.8 is told from less ---------
+
+#: Words of 64 bits to a wide fingerprint.
+WIDE = 4
+#: Least hashes of a shingle set, in so many keys of so many each; texts that share a key are compared.
+KEYS, ROWS = 14, 4
+#: Queries compared at once in a large block.
+QUERIES = 32
+_GOLD = 0x9E3779B97F4A7C15
+
+
+def _mixed(values: np.ndarray) -> np.ndarray:
+    values = (values ^ values >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    values = (values ^ values >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return values ^ values >> np.uint64(31)
+
+
+_BITS = np.array([_GOLD * (i + 1) & 0xFFFFFFFFFFFFFFFF for i in range(WIDE)], np.uint64)
+_SALTS = np.array([_GOLD * (i + 101) & 0xFFFFFFFFFFFFFFFF for i in range(KEYS * ROWS)], np.uint64)
+
+
+def radius_for(similarity: float, bits: int = 64 * WIDE) -> int:
+    """Most differing bits of a link: what texts of that similarity differ by on average, and 1.65 standard deviations.
+
+    Shingle sets of similarity s have a cosine of 2s / (1 + s), and each bit
+    differs with the probability of their angle, so 95 in 100 pairs just that
+    similar link, and more of those more similar.
+    """
+    apart = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(bits * apart + 1.65 * math.sqrt(bits * apart * (1 - apart)))
+
+
+def wide_print(text: str | None, width: int) -> tuple[bytes, list[int]]:
+    """The wide SimHash of a whole text's set of shingles, and its keys; texts without a word share one."""
+    pieces = list(hashes_of(text, width))
+    hashes = np.unique(np.concatenate(pieces)) if pieces else np.zeros(1, np.uint64)
+    total, least = np.zeros(64 * WIDE, np.int64), np.full(KEYS * ROWS, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    for at in range(0, len(hashes), 4096):
+        part = hashes[at : at + 4096, None]
+        total += np.unpackbits(_mixed(part + _BITS).view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        np.minimum(least, _mixed(part ^ _SALTS).min(axis=0), out=least)
+    found = np.packbits(2 * total > len(hashes), bitorder="little").tobytes()
+    raw = least.tobytes()
+    step = 8 * ROWS
+    keys = [xxhash.xxh64_intdigest(raw[i : i + step], i) for i in range(0, len(raw), step)]
+    return found, [k if k < 1 << 63 else k - (1 << 64) for k in keys]
+
+
+def _lanes(prints: np.ndarray) -> np.ndarray:
+    """Bit planes [bits, words] of prints [n, WIDE], 64 prints to a word."""
+    n = len(prints)
+    padded = np.zeros((-(-n // 64) * 64, WIDE), np.uint64)
+    padded[:n] = prints
+    bits = np.unpackbits(padded.view(np.uint8), axis=1, bitorder="little")
+    return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view(np.uint64)
+
+
+def near_lanes(planes: np.ndarray, asked: np.ndarray, radius: int) -> np.ndarray:
+    """Which lanes of each word are at most ``radius`` bits from the word's query: masks [words].
+
+    ``planes`` is [bits, words] and ``asked`` [words, WIDE], the query of each
+    word. The distances of all lanes are counted at once in bitwise counters
+    with a carry-save chain; words all of whose lanes have passed the radius are
+    abandoned.
+    """
+    digits = radius.bit_length()
+    words = planes.shape[1]
+    full = np.uint64(0xFFFFFFFFFFFFFFFF)
+    flips = np.unpackbits(np.ascontiguousarray(asked).view(np.uint8), axis=1, bitorder="little").T  # [bits, words]
+    live = np.arange(words)
+    out = np.zeros(words, np.uint64)
+    counters, over = np.zeros((digits, words), np.uint64), np.zeros(words, np.uint64)
+    for bit in range(64 * WIDE):
+        carry = planes[bit] ^ np.where(flips[bit], full, np.uint64(0))
+        for d in range(digits):
+            before = counters[d]
+            counters[d], carry = before ^ carry, before & carry
+        over |= carry
+        if bit % 32 == 31 and bit >= 95:
+            gone = over | _above(list(counters), radius)
+            left = np.flatnonzero(gone != full)
+            if len(left) < len(live) * 3 // 4 or bit == 64 * WIDE - 1:
+                if bit == 64 * WIDE - 1:
+                    out[live] = ~gone
+                    return out
+                if not len(left):
+                    return out
+                live, planes, flips, over, counters = live[left], planes[:, left], flips[:, left], over[left], counters[:, left]
+    return out
+
+
+def _small_forests(blocks: list[np.ndarray], radius: int) -> list[tuple[bytes, bytes]]:
+    """Edges that join all links within each block of at most 64 prints; a block is a word, and all are compared side by side."""
+    edges = []
+    sizes = np.array([len(b) for b in blocks])
+    planes = np.concatenate([_lanes(b) for b in blocks], axis=1)
+    parents = [list(range(len(b))) for b in blocks]
+    for r in range(int(sizes.max()) - 1):
+        words = np.flatnonzero(sizes > r + 1)
+        near = near_lanes(planes[:, words], np.stack([blocks[w][r] for w in words]), radius)
+        lanes = np.unpackbits(near.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        for w, p in zip(*np.nonzero(lanes[:, r + 1 :]), strict=True):
+            block, p = int(words[w]), int(p) + r + 1
+            if p >= sizes[block]:
+                continue
+            parent = parents[block]
+            a, b = r, p
+            while parent[a] != a:
+                a = parent[a]
+            while parent[b] != b:
+                b = parent[b]
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                edges.append((blocks[block][r].tobytes(), blocks[block][p].tobytes()))
+    return edges
+
+
+def _large_forest(prints: np.ndarray, asked: int, radius: int) -> list[tuple[bytes, bytes]]:
+    """Edges that join all links between the first ``asked`` prints and all of them.
+
+    Words whose prints are all joined with the queries already are passed over,
+    so a dense block costs little more than one row of comparisons.
+    """
+    edges, n = [], len(prints)
+    label = np.arange(n)
+    planes = _lanes(prints)
+    words = planes.shape[1]
+    of_word = np.concatenate((label, np.full(words * 64 - n, -1)))
+    for at in range(0, asked, QUERIES):
+        queries = np.arange(at, min(at + QUERIES, asked))
+        of_word[:n] = label
+        same = label[queries] == label[queries[0]]
+        open_ = np.flatnonzero(((of_word != label[queries[0]]) & (of_word >= 0)).reshape(words, 64).any(axis=1)) if same.all() else np.arange(words)
+        if not len(open_):
+            continue
+        near = near_lanes(np.tile(planes[:, open_], (1, len(queries))), np.repeat(prints[queries], len(open_), axis=0), radius).reshape(len(queries), -1)
+        for i, q in enumerate(queries.tolist()):
+            lanes = np.unpackbits(near[i].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            w, b = np.nonzero(lanes)
+            places = open_[w] * 64 + b
+            places = places[places < n]
+            others, first = np.unique(label[places], return_index=True)
+            joined = others != label[q]
+            if joined.any():
+                for p in places[first[joined]].tolist():
+                    edges.append((prints[q].tobytes(), prints[p].tobytes()))
+                least = min(int(others.min()), int(label[q]))
+                label[np.isin(label, np.append(others, label[q]))] = least
+    return edges
+
+
+def similar(
+    docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", width: int = 5, similarity: float = 0.8, block: int = BLOCK, scratch: Scratch | None = None
+) -> tuple[DataFrame, str]:
+    """Per row of ``docs``: its locator, doc_id, ``fp`` (wide, binary) and ``root``; and the locator's name.
+
+    Texts whose sets of ``width``-word shingles have ``similarity`` or more link,
+    directly or through others; ``root``, the least fingerprint so reached,
+    names the component. They are told by wide fingerprints at most
+    :func:`radius_for` bits apart, compared where two texts share one of
+    ``KEYS`` keys of the least hashes of their shingles (at 0.8 all but 6 in
+    10,000 do). Texts without a word are one component; a null text is an empty
+    one; repeated rows share a fingerprint; very long texts are hashed whole; an
+    empty table gives an empty result.
+
+    A key that only one fingerprint has goes no further. The rest is compared
+    in blocks, a key's group of more than ``block`` dealt in parts of which
+    every pair is a block, and edges that close a circle are left out.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    scratch = scratch or Scratch(spark, "similar")
+    radius = radius_for(similarity)
+    rows, key = keyed(docs, scratch)
+    source = rows.select(F.col(key).alias("row"), F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                found = [wide_print(v.as_py(), width) for v in batch.column("text")]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([f for f, _ in found], pa.binary()), pa.array([k for _, k in found], pa.list_(pa.int64()))], ["row", "doc_id", "fp", "keys"])
+
+    prints = scratch.table(source.mapInArrow(run, StructType(source.schema.fields[:2]).add("fp", "binary").add("keys", ArrayType(LongType()))), "prints")
+    shared = prints.select(F.explode("keys").alias("k")).groupBy("k").agg(F.count("*").alias("size")).where("size > 1")
+    shared = scratch.table(shared, "shared")
+    out = prints.select("fp", F.explode("keys").alias("key")).join(shared, F.col("key") == F.col("k")).select("key", "fp", "size")
+    parts = F.ceil(F.col("size") / block).cast("int")
+    dealt = out.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp").distinct()
+    dealt = dealt.withColumn("deal", F.xxhash64("key", "i", "j"))
+    dealt = dealt.repartition("deal").sortWithinPartitions("deal", "key", "i", "j", "own", "fp")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pending: list[np.ndarray] = []
+
+        def frame(edges: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.binary()), pa.array([e[1] for e in edges], pa.binary())], ["a", "b"])
+
+        def small(least: int) -> list[tuple[bytes, bytes]]:
+            if len(pending) < least or not pending:
+                return []
+            by_size = sorted(pending, key=len)
+            pending.clear()
+            return [e for at in range(0, len(by_size), 512) for e in _small_forests(by_size[at : at + 512], radius)]
+
+        group, members, owners = None, [], []
+
+        def close() -> list[tuple[bytes, bytes]]:
+            if len(members) < 2:
+                return []
+            rows = np.frombuffer(b"".join(members), np.uint64).reshape(-1, WIDE)
+            if group[2] != group[3]:
+                mine = np.array(owners) == group[2]
+                return _large_forest(np.concatenate((rows[mine], rows[~mine])), int(mine.sum()), radius)
+            if len(rows) > 64:
+                return _large_forest(rows, len(rows), radius)
+            pending.append(rows)
+            return small(4096)
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("deal", "key", "i", "j", "own", "fp")]
+            edges = []
+            for deal, k, i, j, own, fp in zip(*columns, strict=True):
+                if (deal, k, i, j) != group:
+                    edges += close()
+                    group, members, owners = (deal, k, i, j), [], []
+                members.append(fp)
+                owners.append(own)
+            if edges:
+                yield frame(edges)
+        edges = close() + small(1)
+        if edges:
+            yield frame(edges)
+
+    found = scratch.table(dealt.select("deal", "key", "i", "j", "own", "fp").mapInArrow(compare, "a binary, b binary").distinct(), "links")
+    roots = stars(found, scratch)
+    rooted = prints.select("row", "doc_id", "fp").join(roots, F.col("fp") == F.col("node"), "left")
+    return rooted.select(F.col("row").alias(key), "doc_id", "fp", F.coalesce("root", "fp").alias("root")), key
+
+
 def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", **settings) -> DataFrame:
-    """The rows of ``docs`` of which one per component stays: that of the smallest id (nulls last), then of the first locator."""
-    scratch = settings.pop("scratch", None) or Scratch(docs.sparkSession, "simhash")
+    """The rows of ``docs`` of which one per component of :func:`similar` stays: that of the smallest id (nulls last), then of the first locator.
+
+    Null, empty and very long texts, repeated rows and empty tables are as there; the columns are those of ``docs``.
+    """
+    scratch = settings.pop("scratch", None) or Scratch(docs.sparkSession, "similar")
     rows, key = keyed(docs, scratch)
-    found, locator = near_duplicates(docs, doc_id=doc_id, scratch=scratch, **settings)
+    found, locator = similar(docs, doc_id=doc_id, scratch=scratch, **settings)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(locator).alias("row")))
     stay = found.groupBy("root").agg(first.alias("first")).select(F.col("first.row").alias(key))
     kept = rows.join(stay, key, "left_semi")
-    return kept.select(*[kept[c] for c in docs.columns])
-
-
-__all__ = ["near_duplicates", "one_of_each", "fingerprint", "fingerprints", "links", "within", "fresh"]
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
