@@ -63,7 +63,7 @@ def mix(
 ) -> tuple[DataFrame, str]:
     """How often each row of ``docs`` is taken.
 
-    Every source's documents are shuffled by a seeded hash of their id and
+    Every source's documents are shuffled by a seeded hash of id and text and
     queued one after another, up to ``epochs`` times over. A document's virtual
     finish time is the words queued so far in its source, its own included,
     over the source's target. The queue of all sources is served in order of
@@ -75,7 +75,8 @@ def mix(
     :func:`taken_rows` has the rows themselves. Null texts have size 0 and are
     never taken, as are sources of no words; null sources form one source;
     repeated rows are documents of their own, told apart by their locator; ties
-    in time go by source, id and locator, so reruns agree. An empty table gives
+    in time go by source, id and locator. So reruns agree, where rows repeat as
+    long as these lie in the same files. An empty table gives
     an empty result.
 
     Very long texts are counted whole; columns of ``docs`` that are not named
@@ -93,6 +94,7 @@ def mix(
         F.col(f"`{doc_id}`").alias("doc_id"),
         F.col(f"`{source}`").alias("source"),
         words(F.col(f"`{text}`")).alias("size"),
+        F.xxhash64(F.col(f"`{doc_id}`"), F.xxhash64(F.col(f"`{text}`")), F.lit(seed)).alias("base"),
     )
     # The one pass over the texts; everything below reads this narrow table.
     narrow = scratch.table(narrow, "sizes")
@@ -103,8 +105,10 @@ def mix(
     plan = scratch.table(targets(sizes, epochs=epochs).coalesce(1), "targets")
     budget = F.coalesce(F.max("budget"), F.lit(0))
 
-    # The locator's end, too, so that rows of one id do not meet in one block.
-    place = F.xxhash64(F.col("doc_id"), F.substring_index("row", "/", -1), F.lit(seed))
+    # Rows of one id and text, if there are any, are told apart by their locator's end, so that they do not meet in one block.
+    repeated = scratch.table(narrow.groupBy(F.col("base").alias("again")).agg(F.count("*").alias("n")).where("n > 1").select("again"), "repeated")
+    narrow = narrow.join(repeated, F.col("base") == F.col("again"), "left")
+    place = F.when(F.col("again").isNull(), F.col("base")).otherwise(F.xxhash64("base", F.substring_index("row", "/", -1)))
     dealt = narrow.withColumns({"place": place, "block": F.pmod(F.shiftrightunsigned(place, 20), F.lit(blocks))})
     in_block = ["source", "block"]
     sums = dealt.groupBy(*in_block).agg(F.sum("size").alias("block_size"))
