@@ -18,13 +18,18 @@ import pyarrow as pa
 import regex
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, IntegerType, LongType, StringType, StructType
 
-from .common import TwoGenerations, fresh, pieces_of, ship
+from .common import TwoGenerations, pieces_of, ship
 from .merging import RIGHT, merge, ranked
 
-#: A pre-token never holds white space after something else, so a text may be cut there.
+#: Where a text may be cut if a pre-token never holds white space after something else.
 CUT = regex.compile(r"(?<=\S)(?=\s)")
+#: Texts by which a pattern is tried for that.
+TRIALS = ("a b", "a  b", "a\nb", "1\t2", "!\n\n!", "a!\r\n b", "it's\n x", "a \n b", "é\u2003b", "漢\u3000字", "/\n", "a/\r\n\r\nb", "'\n'")
+#: Longer pre-tokens are not remembered.
+REMEMBERED = 64
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -138,7 +143,11 @@ class ByteBpe:
         if min(self.byte_ids) < 0:
             raise ValueError("the vocabulary lacks a single byte")
         self.decimal = [str(i) for i in range(len(tokens))]
-        self.split = regex.compile(pattern).findall
+        found = regex.compile(pattern)
+        self.split = found.findall
+        # Cut long texts only if this pattern splits the trials alike whole and cut; else they are split in one piece.
+        alike = all([m[0] for m in found.finditer(t)] == [m[0] for piece in CUT.split(t) for m in found.finditer(piece)] for t in TRIALS)
+        self.cut = CUT if alike else regex.compile(r"(?!)")
         self.memo = TwoGenerations(self._pre_token, memo)
 
     def _pre_token(self, pre_token: str) -> tuple[int, ...]:
@@ -153,8 +162,12 @@ class ByteBpe:
 
     def encode(self, text: str) -> list[int]:
         ids: list[int] = []
-        for piece in pieces_of(text, CUT):
-            ids.extend(chain.from_iterable(map(self.memo.__getitem__, self.split(piece))))
+        for piece in pieces_of(text, self.cut):
+            found = self.split(piece)
+            if len(piece) > REMEMBERED and max(map(len, found), default=0) > REMEMBERED:
+                ids.extend(chain.from_iterable(self.memo[t] if len(t) <= REMEMBERED else self._pre_token(t) for t in found))
+            else:
+                ids.extend(chain.from_iterable(map(self.memo.__getitem__, found)))
             self.memo.trim()
         return ids
 
@@ -205,7 +218,8 @@ def encode(
     that decoding the ids gives back. A column of the same name is replaced.
     A null text counts as empty (no ids), repeated rows are each encoded, an
     empty table gives an empty one. Very long texts are encoded in pieces cut
-    where no pre-token can cross. The vocabulary (a bounded file) is read by
+    where no pre-token of the pattern can cross, or whole where there is no such
+    place. The vocabulary (a bounded file) is read by
     the driver and broadcast.
     """
     spark = docs.sparkSession
@@ -221,8 +235,7 @@ def encode(
         ddl += [("ids_sha256", StringType()), ("decoded_sha256", StringType())]
     names = [f.name for f in added]
     kept = [c for c in docs.columns if c.lower() not in names]
-    source = docs.select(*[docs[c] for c in kept]) if text in kept else docs.select(*kept, docs[text].alias(fresh(docs, "_text")))
-    column = text if text in kept else source.columns[-1]
+    source = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(kept)], F.col(f"`{text}`").alias("whole"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(sent.value, pattern)
@@ -230,7 +243,7 @@ def encode(
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 counts, listed, hashed, back = [], [], [], []
-                for value in batch.column(column):
+                for value in batch.column("whole"):
                     ids = bpe.encode(value.as_py() or "")
                     counts.append(len(ids))
                     if with_ids:
@@ -238,7 +251,7 @@ def encode(
                     if digests:
                         hashed.append(bpe.id_digest(ids))
                         back.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
-                out = [batch.column(c) for c in kept] + [pa.array(counts, pa.int64())]
+                out = [*batch.columns[:-1], pa.array(counts, pa.int64())]
                 if with_ids:
                     ends = [0]
                     for n in counts:
@@ -246,25 +259,31 @@ def encode(
                     out.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.concat_arrays(listed)))
                 if digests:
                     out += [pa.array(hashed, pa.string()), pa.array(back, pa.string())]
-                yield pa.RecordBatch.from_arrays(out, [*kept, *names])
+                yield pa.RecordBatch.from_arrays(out, [*batch.schema.names[:-1], *names])
 
-    schema = StructType([source.schema[c] for c in kept])
+    schema = StructType(source.schema.fields[:-1])
     for name, kind in ddl:
         schema = schema.add(name, kind)
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema).toDF(*kept, *names)
 
 
 def decode(rows: DataFrame, ranks: str, *, ids: str = "ids") -> DataFrame:
-    """Add ``decoded`` (binary) to each row: the bytes that its array of ids stands for; null ids give null."""
+    """Add ``decoded`` (binary) to each row: the bytes that its array of ids stands for.
+
+    Null ids give null, none give no bytes; an id that the vocabulary lacks is
+    an error. Repeated rows are each decoded, very long arrays whole; an empty
+    table gives an empty one; a column named ``decoded`` is replaced.
+    """
     spark = rows.sparkSession
     ship(spark)
     sent = spark.sparkContext.broadcast(read_ranks(ranks))
     kept = [c for c in rows.columns if c.lower() != "decoded"]
+    source = rows.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(kept)], F.col(f"`{ids}`").alias("whole"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = sent.value
         for batch in batches:
-            out = [None if v.as_py() is None else b"".join(tokens[i] for i in v.as_py()) for v in batch.column(ids)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(out, pa.binary())], [*kept, "decoded"])
+            out = [None if v is None else b"".join(map(tokens.__getitem__, v)) for v in batch.column("whole").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.binary())], [*batch.schema.names[:-1], "decoded"])
 
-    return rows.mapInArrow(run, StructType([rows.schema[c] for c in kept]).add("decoded", "binary"))
+    return source.mapInArrow(run, StructType(source.schema.fields[:-1]).add("decoded", "binary")).toDF(*kept, "decoded")

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .common import TwoGenerations, ship
@@ -98,8 +99,8 @@ def count_tokens(docs: DataFrame, model: str, *, text: str = "text", limit: int
 
     Counts are those of the model's library without begin and end tokens. A
     null text counts as empty (no token); special strings inside a text are
-    ordinary text; repeated rows are each counted; an empty table gives an
-    empty one. A column of an added name is replaced. The model, a bounded
+    ordinary text; very long texts are counted whole; repeated rows are each
+    counted; an empty table gives an empty one. A column of an added name is replaced. The model, a bounded
     file, is read by the driver and broadcast.
     """
     spark = docs.sparkSession
@@ -111,7 +112,7 @@ def count_tokens(docs: DataFrame, model: str, *, text: str = "text", limit: int
     key = hashlib.sha256(repr(pieces).encode()).hexdigest()
     names = ["n_bytes", "n_tokens", "over_limit"]
     kept = [c for c in (keep or docs.columns) if c.lower() not in names]
-    source = docs.select(*[docs[c].alias(f"k{i}") for i, c in enumerate(kept)], docs[text].alias("whole"))
+    source = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(kept)], F.col(f"`{text}`").alias("whole"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces_of = counter(key, sent.value)

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import Scratch, keyed, ship
 
@@ -17,6 +18,8 @@ from .common import Scratch, keyed, ship
 BUCKETS = 256
 #: Bytes hashed at a time; triplets across the seam are counted.
 CHUNK = 1 << 20
+#: Documents to a partition of the range sort.
+PART = 50_000
 #: Steps from a triplet's first byte to its second and third.
 SHAPES = ((1, 2), (1, 3), (2, 4))
 #: Most that the lengths' part may add to the difference, in bucket steps.
@@ -75,7 +78,7 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - third] + following[:third]
 
 
-RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+RESULT = "doc_id {}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
 def _row(doc_id, text: str, print_: str, following: str, next_print: str) -> tuple:
@@ -85,11 +88,14 @@ def _row(doc_id, text: str, print_: str, following: str, next_print: str) -> tup
 
 
 def fingerprints(docs: DataFrame, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (all) of each row with ``fingerprint``; null texts count as empty, texts are hashed whole."""
+    """The columns ``keep`` (all) of each row with ``fingerprint``; null texts count as empty, texts are hashed whole.
+
+    Repeated rows are each fingerprinted; an empty table gives an empty one; a column named ``fingerprint`` is replaced.
+    """
     ship(docs.sparkSession)
     kept = [c for c in (keep or docs.columns) if c.lower() != "fingerprint"]
     one = F.pandas_udf(lambda s: s.map(fingerprint), "string")
-    return docs.select(*[docs[c] for c in kept], one(docs[text]).alias("fingerprint"))
+    return docs.select(*[F.col(f"`{c}`") for c in kept], one(F.col(f"`{text}`")).alias("fingerprint"))
 
 
 def with_edits(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", scratch: Scratch | None = None) -> DataFrame:
@@ -99,20 +105,24 @@ def with_edits(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", s
     by locator, the last is followed by the first). One range shuffle puts
     every document beside the next; only the first and last of each partition
     are matched by partition number afterwards. A single document follows
-    itself; an empty table gives an empty result.
+    itself; an empty table gives an empty result. Ids may be of any type that
+    sorts; texts are read whole; other columns of ``docs`` are not looked at.
     """
     spark = docs.sparkSession
     ship(spark)
     scratch = scratch or Scratch(spark, "quartile")
     rows, key = keyed(docs, scratch)
     order = [F.col("doc_id").desc_nulls_last(), F.col("row")]
-    source = rows.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(key).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    source = rows.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(key).alias("row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    # So many rows to a partition at most, however large the table; a count reads no text.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // PART))
     source = source.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    schema = RESULT + ", edge int, text string"
-    names = [part.split()[0] for part in schema.split(", ")]
-    kinds = {"long": pa.int64(), "string": pa.string(), "double": pa.float64(), "int": pa.int32()}
-    arrow = pa.schema([(p.split()[0], kinds[p.split()[1]]) for p in schema.split(", ")])
+    id_type = source.schema["doc_id"].dataType
+    result = RESULT.format(id_type.simpleString())
+    schema = result + ", edge int, text string"
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "edge", "text"]
+    kinds = [to_arrow_type(id_type), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.string()]
+    arrow = pa.schema(list(zip(names, kinds, strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -149,4 +159,4 @@ def with_edits(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", s
             out = [dict(zip(names, _row(*r.values()), strict=False)) for r in batch.to_pylist()]
             yield pa.RecordBatch.from_pylist(out, pa.schema(list(arrow)[:7]))
 
-    return found.where("edge is null").select(*names[:7]).unionAll(edges.mapInArrow(finish, RESULT))
+    return found.where("edge is null").select(*names[:7]).unionAll(edges.mapInArrow(finish, result))
