@@ -148,7 +148,7 @@ class ByteBpe:
         # Cut long texts only if this pattern splits the trials alike whole and cut; else they are split in one piece.
         alike = all([m[0] for m in found.finditer(t)] == [m[0] for piece in CUT.split(t) for m in found.finditer(piece)] for t in TRIALS)
         self.cut = CUT if alike else regex.compile(r"(?!)")
-        self.memo = TwoGenerations(self._pre_token, memo)
+        self.memo = TwoGenerations(self._pre_token, memo, REMEMBERED)
 
     def _pre_token(self, pre_token: str) -> tuple[int, ...]:
         raw = pre_token.encode()
@@ -163,11 +163,7 @@ class ByteBpe:
     def encode(self, text: str) -> list[int]:
         ids: list[int] = []
         for piece in pieces_of(text, self.cut):
-            found = self.split(piece)
-            if len(piece) > REMEMBERED and max(map(len, found), default=0) > REMEMBERED:
-                ids.extend(chain.from_iterable(self.memo[t] if len(t) <= REMEMBERED else self._pre_token(t) for t in found))
-            else:
-                ids.extend(chain.from_iterable(map(self.memo.__getitem__, found)))
+            ids.extend(chain.from_iterable(map(self.memo.__getitem__, self.split(piece))))
             self.memo.trim()
         return ids
 

@@ -49,16 +49,18 @@ def _straight_from_files(docs: DataFrame) -> bool:
 
 
 class TwoGenerations(dict):
-    """A memo bounded at twice ``most`` entries: when the young half is full it becomes the old half."""
+    """A memo bounded at twice ``most`` entries: when the young half is full it becomes the old half. Keys over ``longest`` are not kept."""
 
-    def __init__(self, compute, most: int = 250_000):
+    def __init__(self, compute, most: int = 250_000, longest: int = 1 << 30):
         super().__init__()
-        self.compute, self.most, self.old = compute, most, {}
+        self.compute, self.most, self.longest, self.old = compute, most, longest, {}
 
     def __missing__(self, key):
         found = self.old.get(key)
         if found is None:
             found = self.compute(key)
+            if len(key) > self.longest:
+                return found
         self[key] = found
         return found
 
