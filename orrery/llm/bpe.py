@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, IntegerType, LongType, StringType, StructType
 
-from .common import TwoGenerations, pieces_of, ship
+from .common import TwoGenerations, pieces_of, release, ship
 from .merging import RIGHT, merge, ranked
 
 #: Where a text may be cut if a pre-token never holds white space after something else.
@@ -135,7 +135,7 @@ class Vocabulary:
 class ByteBpe:
     """Encode and decode by one vocabulary. ``pattern`` splits a text into pre-tokens."""
 
-    def __init__(self, vocabulary: Vocabulary, pattern: str, memo: int = 300_000):
+    def __init__(self, vocabulary: Vocabulary, pattern: str, memo: int = 250_000):
         self.tokens = tokens = vocabulary.tokens
         self.whole = vocabulary.whole
         self.pairs, self.order = vocabulary.pairs, vocabulary.order
@@ -235,6 +235,7 @@ def encode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(sent.value, pattern)
+        release(bpe.memo)
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import weakref
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +16,7 @@ from orrery.scratch import Scratch, shared_dir, ship  # noqa: F401  shared by th
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_JAVA = r"[^\x20\x09-\x0D]+"
 
+
 def fresh(df: DataFrame, stem: str) -> str:
     """``stem``, lengthened until no column of ``df`` has that name in any case."""
     taken = {c.lower() for c in df.columns}
@@ -48,12 +52,28 @@ def _straight_from_files(docs: DataFrame) -> bool:
     return lines[-1].startswith("Relation") and all(line.startswith(("Project", "Filter", "Relation")) for line in lines)
 
 
+_memos: list[weakref.ref] = []
+
+
+def release(*keep: TwoGenerations) -> None:
+    """At a task's start: give back what earlier tasks of other operators left in this worker; their memos but for ``keep``, and freed memory."""
+    for held in _memos:
+        memo = held()
+        if memo is not None and all(memo is not k for k in keep):
+            memo.clear()
+            memo.old = {}
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 class TwoGenerations(dict):
     """A memo bounded at twice ``most`` entries: when the young half is full it becomes the old half. Keys over ``longest`` are not kept."""
 
     def __init__(self, compute, most: int = 250_000, longest: int = 1 << 30):
         super().__init__()
         self.compute, self.most, self.longest, self.old = compute, most, longest, {}
+        _memos.append(weakref.ref(self))
 
     def __missing__(self, key):
         found = self.old.get(key)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import TwoGenerations, ship
+from .common import TwoGenerations, release, ship
 from .merging import RIGHT, merge, ranked
 
 SPACE = "▁"
@@ -116,6 +116,7 @@ def count_tokens(docs: DataFrame, model: str, *, text: str = "text", limit: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces_of = counter(key, sent.value)
+        release(pieces_of.memo)
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
-from .common import WORD, Scratch, keyed, pieces_of, ship
+from .common import WORD, Scratch, keyed, pieces_of, release, ship
 from .components import stars
 
 #: Two fingerprints link when at most so many bits differ.
@@ -478,6 +478,7 @@ def similar(
     source = rows.select(F.col(key).alias("row"), F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
