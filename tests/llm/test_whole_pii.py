@@ -85,3 +85,14 @@ def test_long_runs_take_linear_time_and_crash_nothing(spark):
     found = {r.doc_id: r for r in pii.find(docs).collect()}
     assert found[0].base == "ip:0:5006" and found[6].base == found[7].base == found[6].spans == "" and found[0]["sp.ans"] == 1
     assert pii.find(docs.limit(0)).count() == 0
+
+
+def test_recall_on_repeated_spoilt_data():
+    weights = pii.train(*pii.examples())
+    draw = random.Random(77)
+    number = lambda n: "".join(draw.choice("0123456789") for _ in range(n))
+    text = "The report names {0} and was read with care, then {0} came up, and at last {0} once more."
+    phones = [text.format(f"{number(3)}-555-{number(4)}") for _ in range(100)]
+    assert sum(k == 3 for spans in added(phones, weights).values() for k, _, _ in spans) >= 240
+    for other in (lambda: f"{number(4)}-{number(2)}-{number(2)}", lambda: number(6), lambda: f"ab{number(2)}cd"):
+        assert not added([text.format(other()) for _ in range(100)], weights)
