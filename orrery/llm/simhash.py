@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import combinations
+from functools import partial
+from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
@@ -309,6 +310,8 @@ WIDE = 4
 KEYS, ROWS = 14, 4
 #: Queries compared at once in a large block.
 QUERIES = 32
+#: The columns that name a block.
+_GROUP = ["deal", "key", "i", "j"]
 _GOLD = 0x9E3779B97F4A7C15
 
 
@@ -323,20 +326,31 @@ _SALTS = np.array([_GOLD * (i + 101) & 0xFFFFFFFFFFFFFFFF for i in range(KEYS *
 
 
 def radius_for(similarity: float, bits: int = 64 * WIDE) -> int:
-    """Most differing bits of a link: what texts of that similarity differ by on average, and 1.65 standard deviations.
+    """Most differing bits of a candidate: what texts of that similarity differ by on average, and 2.33 standard deviations.
 
     Shingle sets of similarity s have a cosine of 2s / (1 + s), and each bit
-    differs with the probability of their angle, so 95 in 100 pairs just that
-    similar link, and more of those more similar.
+    differs with the probability of their angle, so 99 in 100 pairs just that
+    similar are candidates, and more of those more similar.
     """
     apart = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(bits * apart + 1.65 * math.sqrt(bits * apart * (1 - apart)))
+    return round(bits * apart + 2.33 * math.sqrt(bits * apart * (1 - apart)))
+
+
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """The hashes of a whole text's set of shingles, ascending; a single 0 where it has no word."""
+    pieces = list(hashes_of(text, width))
+    return np.unique(np.concatenate(pieces)) if pieces else np.zeros(1, np.uint64)
+
+
+def likeness(one: np.ndarray, two: np.ndarray) -> float:
+    """Shared members of two sets over all their members."""
+    both = len(np.intersect1d(one, two, assume_unique=True))
+    return both / (len(one) + len(two) - both)
 
 
 def wide_print(text: str | None, width: int) -> tuple[bytes, list[int]]:
     """The wide SimHash of a whole text's set of shingles, and its keys; texts without a word share one."""
-    pieces = list(hashes_of(text, width))
-    hashes = np.unique(np.concatenate(pieces)) if pieces else np.zeros(1, np.uint64)
+    hashes = shingle_set(text, width)
     total, least = np.zeros(64 * WIDE, np.int64), np.full(KEYS * ROWS, 0xFFFFFFFFFFFFFFFF, np.uint64)
     for at in range(0, len(hashes), 4096):
         part = hashes[at : at + 4096, None]
@@ -393,7 +407,12 @@ def near_lanes(planes: np.ndarray, asked: np.ndarray, radius: int) -> np.ndarray
 
 
 def _small_forests(blocks: list[np.ndarray], radius: int) -> list[tuple[bytes, bytes]]:
-    """Edges that join all links within each block of at most 64 prints; a block is a word, and all are compared side by side."""
+    """Edges that join all links within each block of at most 64 prints."""
+    return [(a, b) for _, a, b in _side_by_side(blocks, radius)]
+
+
+def _side_by_side(blocks: list[np.ndarray], radius: int) -> list[tuple[int, bytes, bytes]]:
+    """Those edges with their block's number; a block is a word, and all are compared side by side."""
     edges = []
     sizes = np.array([len(b) for b in blocks])
     planes = np.concatenate([_lanes(b) for b in blocks], axis=1)
@@ -414,7 +433,7 @@ def _small_forests(blocks: list[np.ndarray], radius: int) -> list[tuple[bytes, b
                 b = parent[b]
             if a != b:
                 parent[max(a, b)] = min(a, b)
-                edges.append((blocks[block][r].tobytes(), blocks[block][p].tobytes()))
+                edges.append((block, blocks[block][r].tobytes(), blocks[block][p].tobytes()))
     return edges
 
 
@@ -452,6 +471,37 @@ def _large_forest(prints: np.ndarray, asked: int, radius: int) -> list[tuple[byt
     return edges
 
 
+def _left_open(prints: np.ndarray, side: np.ndarray | None, known: list[tuple[bytes, bytes, bool]], radius: int, most: int) -> list[tuple[bytes, bytes]]:
+    """Candidate pairs of a block that its ``known`` pairs leave open: not judged yet, and not joined by good ones.
+
+    Each print outside the largest group joined so far gives the first ``most``
+    of its pairs, with prints of the other side only where sides are given.
+    """
+    n = len(prints)
+    place = {row.tobytes(): i for i, row in enumerate(prints)}
+    label, judged = np.arange(n), set()
+    for a, b, good in known:
+        a, b = place[a], place[b]
+        judged.add((min(a, b), max(a, b)))
+        if good and label[a] != label[b]:
+            label[label == label[b]] = label[a]
+    names, counts = np.unique(label, return_counts=True)
+    asked = np.flatnonzero(label != names[counts.argmax()])
+    planes, found = _lanes(prints), set()
+    words = planes.shape[1]
+    for at in range(0, len(asked), QUERIES):
+        queries = asked[at : at + QUERIES]
+        near = near_lanes(np.tile(planes, (1, len(queries))), np.repeat(prints[queries], words, axis=0), radius).reshape(len(queries), -1)
+        for i, q in enumerate(queries.tolist()):
+            places = np.flatnonzero(np.unpackbits(near[i].view(np.uint8), bitorder="little")[:n])
+            places = places[label[places] != label[q]]
+            if side is not None:
+                places = places[side[places] != side[q]]
+            pairs = ((min(q, p), max(q, p)) for p in places.tolist())
+            found.update(islice((pair for pair in pairs if pair not in judged), most))
+    return [(prints[a].tobytes(), prints[b].tobytes()) for a, b in sorted(found)]
+
+
 def similar(
     docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", width: int = 5, similarity: float = 0.8, block: int = BLOCK, scratch: Scratch | None = None
 ) -> tuple[DataFrame, str]:
@@ -459,16 +509,22 @@ def similar(
 
     Texts whose sets of ``width``-word shingles have ``similarity`` or more link,
     directly or through others; ``root``, the least fingerprint so reached,
-    names the component. They are told by wide fingerprints at most
+    names the component. Candidates are told by wide fingerprints at most
     :func:`radius_for` bits apart, compared where two texts share one of
     ``KEYS`` keys of the least hashes of their shingles (at 0.8 all but 6 in
-    10,000 do). Texts without a word are one component; a null text is an empty
-    one; repeated rows share a fingerprint; very long texts are hashed whole; an
-    empty table gives an empty result.
+    10,000 do), and the sets of each are compared in full: no texts less
+    similar link. Texts of one fingerprint count as alike. Texts without a word
+    are one component; a null text is an empty one; repeated rows share a
+    fingerprint; very long texts are hashed whole; an empty table gives an
+    empty result.
 
     A key that only one fingerprint has goes no further. The rest is compared
     in blocks, a key's group of more than ``block`` dealt in parts of which
-    every pair is a block, and edges that close a circle are left out.
+    every pair is a block. A block first gives the candidates that join all its
+    near fingerprints, without those that close a circle. Where one of these
+    turns out less similar, the block is asked again for pairs that are still
+    open, ever more of them, until none is; so every candidate is either joined
+    or compared.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -492,54 +548,107 @@ def similar(
     parts = F.ceil(F.col("size") / block).cast("int")
     dealt = out.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp").distinct()
-    dealt = dealt.withColumn("deal", F.xxhash64("key", "i", "j"))
-    dealt = dealt.repartition("deal").sortWithinPartitions("deal", "key", "i", "j", "own", "fp")
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp")
+    dealt = dealt.withColumn("deal", F.xxhash64("key", "i", "j")).select(*_GROUP, "own", "fp")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pending: list[np.ndarray] = []
+    def compare(batches: Iterator[pa.RecordBatch], most: int = 0) -> Iterator[pa.RecordBatch]:
+        pending: list[tuple[tuple, np.ndarray]] = []
 
-        def frame(edges: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.binary()), pa.array([e[1] for e in edges], pa.binary())], ["a", "b"])
+        def frame(edges: list[tuple]) -> pa.RecordBatch:
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*edges, strict=True), kinds, strict=True)], [*_GROUP, "a", "b"])
 
-        def small(least: int) -> list[tuple[bytes, bytes]]:
+        def small(least: int) -> list[tuple]:
             if len(pending) < least or not pending:
                 return []
-            by_size = sorted(pending, key=len)
+            by_size = sorted(pending, key=lambda p: len(p[1]))
             pending.clear()
-            return [e for at in range(0, len(by_size), 512) for e in _small_forests(by_size[at : at + 512], radius)]
+            chunks = [by_size[at : at + 512] for at in range(0, len(by_size), 512)]
+            return [(*chunk[w][0], a, b) for chunk in chunks for w, a, b in _side_by_side([rows for _, rows in chunk], radius)]
 
-        group, members, owners = None, [], []
+        group, members, owners, known = None, [], [], []
 
-        def close() -> list[tuple[bytes, bytes]]:
+        def close() -> list[tuple]:
             if len(members) < 2:
                 return []
             rows = np.frombuffer(b"".join(members), np.uint64).reshape(-1, WIDE)
-            if group[2] != group[3]:
+            across = group[2] != group[3]
+            if most:
+                edges = _left_open(rows, np.array(owners) if across else None, known, radius, most)
+            elif across:
                 mine = np.array(owners) == group[2]
-                return _large_forest(np.concatenate((rows[mine], rows[~mine])), int(mine.sum()), radius)
-            if len(rows) > 64:
-                return _large_forest(rows, len(rows), radius)
-            pending.append(rows)
-            return small(4096)
+                edges = _large_forest(np.concatenate((rows[mine], rows[~mine])), int(mine.sum()), radius)
+            elif len(rows) > 64:
+                edges = _large_forest(rows, len(rows), radius)
+            else:
+                pending.append((group, rows))
+                return small(4096)
+            return [(*group, a, b) for a, b in edges]
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("deal", "key", "i", "j", "own", "fp")]
+            columns = [batch.column(c).to_pylist() for c in batch.schema.names]
             edges = []
-            for deal, k, i, j, own, fp in zip(*columns, strict=True):
-                if (deal, k, i, j) != group:
+            for *now, own, fp, mate, good in zip(*columns, strict=True):
+                if tuple(now) != group:
                     edges += close()
-                    group, members, owners = (deal, k, i, j), [], []
-                members.append(fp)
-                owners.append(own)
+                    group, members, owners, known = tuple(now), [], [], []
+                if mate is not None:
+                    known.append((fp, mate, good))
+                else:
+                    members.append(fp)
+                    owners.append(own)
             if edges:
                 yield frame(edges)
         edges = close() + small(1)
         if edges:
             yield frame(edges)
 
-    found = scratch.table(dealt.select("deal", "key", "i", "j", "own", "fp").mapInArrow(compare, "a binary, b binary").distinct(), "links")
-    roots = stars(found, scratch)
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        last, own = None, None
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                batch = whole.slice(at, 64)
+                good = []
+                for a, one, two in zip(batch.column("a"), batch.column("one"), batch.column("two"), strict=True):
+                    if a.as_py() != last:  # sorted by the join, so a hub's set is made once
+                        last, own = a.as_py(), shingle_set(one.as_py(), width)
+                    good.append(likeness(own, shingle_set(two.as_py(), width)) >= similarity)
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(good, pa.bool_())], ["a", "b", "good"])
+
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # named, since the work in a block is no matter of its bytes
+    judged, reopened, verdicts, round_ = None, None, None, 0
+    while True:
+        members = (dealt if reopened is None else dealt.join(reopened, _GROUP, "left_semi")).distinct()
+        members = members.withColumns({"mate": F.lit(None).cast("binary"), "good": F.lit(None).cast("boolean")})
+        if judged is not None:
+            known = judged.join(reopened, _GROUP, "left_semi")
+            members = members.unionByName(known.select(*_GROUP, F.lit(-1).alias("own"), F.col("a").alias("fp"), F.col("b").alias("mate"), "good"))
+        members = members.repartition(tasks, "deal").sortWithinPartitions(*_GROUP, "own", "fp")
+        asked = partial(compare, most=8**round_ if round_ else 0)
+        edges = members.mapInArrow(asked, "deal long, key long, i int, j int, a binary, b binary")
+        edges = edges.select(*_GROUP, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        edges = scratch.table(edges, f"candidates-{round_}")
+        if round_ and edges.isEmpty():
+            break
+        pairs = edges.select("a", "b").distinct()
+        pairs = scratch.table(pairs if verdicts is None else pairs.join(verdicts, ["a", "b"], "left_anti"), f"pairs-{round_}")
+        wanted = pairs.select(F.col("a").alias("fp")).unionAll(pairs.select(F.col("b").alias("fp"))).distinct()
+        chosen = scratch.table(prints.select("fp", "row").join(wanted, "fp").groupBy("fp").agg(F.min("row").alias("row")), f"chosen-{round_}")
+        texts = scratch.table(source.select("row", "text").join(chosen, "row").select("fp", "text"), f"texts-{round_}")
+        # The greater of a pair is seldom a hub, so its text goes along; the lesser's is joined last and read where it lies.
+        both = pairs.join(texts.toDF("b", "two"), "b").join(texts.toDF("a", "one"), "a").select("a", "b", "one", "two")
+        found = scratch.table(both.mapInArrow(alike, "a binary, b binary, good boolean"), f"verdicts-{round_}")
+        verdicts = found if verdicts is None else verdicts.unionAll(found)
+        scratch.drop(f"texts-{round_}")
+        new = scratch.table(edges.join(verdicts, ["a", "b"]).select(*_GROUP, "a", "b", "good"), f"judged-{round_}")
+        judged = new if judged is None else judged.unionAll(new)
+        # A block whose first candidates are all good is joined whole; a later answer may leave some out.
+        reopened = scratch.table((new if round_ else new.where("not good")).select(*_GROUP).distinct(), f"reopened-{round_}")
+        round_ += 1
+        if reopened.isEmpty():
+            break
+    roots = stars(judged.where("good").select("a", "b"), scratch)
     rooted = prints.select("row", "doc_id", "fp").join(roots, F.col("fp") == F.col("node"), "left")
     return rooted.select(F.col("row").alias(key), "doc_id", "fp", F.coalesce("root", "fp").alias("root")), key
 
