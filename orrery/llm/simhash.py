@@ -625,7 +625,7 @@ def similar(
             known = judged.join(reopened, _GROUP, "left_semi")
             members = members.unionByName(known.select(*_GROUP, F.lit(-1).alias("own"), F.col("a").alias("fp"), F.col("b").alias("mate"), "good"))
         members = members.repartition(tasks, "deal").sortWithinPartitions(*_GROUP, "own", "fp")
-        asked = partial(compare, most=8**round_ if round_ else 0)
+        asked = partial(compare, most=32**round_ if round_ else 0)
         edges = members.mapInArrow(asked, "deal long, key long, i int, j int, a binary, b binary")
         edges = edges.select(*_GROUP, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         edges = scratch.table(edges, f"candidates-{round_}")
@@ -634,7 +634,7 @@ def similar(
         pairs = edges.select("a", "b").distinct()
         pairs = scratch.table(pairs if verdicts is None else pairs.join(verdicts, ["a", "b"], "left_anti"), f"pairs-{round_}")
         wanted = pairs.select(F.col("a").alias("fp")).unionAll(pairs.select(F.col("b").alias("fp"))).distinct()
-        chosen = scratch.table(prints.select("fp", "row").join(wanted, "fp").groupBy("fp").agg(F.min("row").alias("row")), f"chosen-{round_}")
+        chosen = prints.select("fp", "row").join(wanted, "fp").groupBy("fp").agg(F.min("row").alias("row"))
         texts = scratch.table(source.select("row", "text").join(chosen, "row").select("fp", "text"), f"texts-{round_}")
         # The greater of a pair is seldom a hub, so its text goes along; the lesser's is joined last and read where it lies.
         both = pairs.join(texts.toDF("b", "two"), "b").join(texts.toDF("a", "one"), "a").select("a", "b", "one", "two")
