@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, counts, exact, language, lines, mixing, pii, quartile, simhash, urls
+from . import audit, bpe, counts, exact, language, lines, mixing, pii, quartile, simhash, urls
 
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
@@ -66,11 +66,54 @@ def op10_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_mixing, op3_simhash, op4_urls, op5_counts, op6_pii, op7_quartile, op8_lines, op9_language, op10_exact)}
+def op13_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return audit.audit(_documents(spark, sf_dir), labels)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_bpe, op2_mixing, op3_simhash, op4_urls, op5_counts, op6_pii, op7_quartile, op8_lines, op9_language, op10_exact, op13_audit)
+}
 
 ORACLE_SQL = {
     "op10_exact": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+    "op13_audit": r"""
+        WITH texts AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+        words AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM texts),
+        checks AS (
+            SELECT doc_id, part, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b,
+                   100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) AS c,
+                   regexp_matches(t, '[#$%&*|]') AS d,
+                   coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS e
+            FROM words),
+        marked AS (
+            SELECT *, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS good, doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS toxic
+            FROM checks),
+        fails AS (
+            SELECT part, good, toxic, ([CASE WHEN a THEN 'A' END, CASE WHEN b THEN 'B' END, CASE WHEN c THEN 'C' END,
+                    CASE WHEN d THEN 'D' END, CASE WHEN e THEN 'E' END]).list_filter(lambda x: x IS NOT NULL) AS failed, count(*) AS n
+            FROM marked GROUP BY ALL),
+        letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+        orders AS (
+            SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+            WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+        steps AS (SELECT filter_order, unnest(range(1, 6))::INTEGER AS step FROM orders),
+        placed AS (
+            SELECT f.*, filter_order, step, list_contains(failed, filter_order[step]) AS here,
+                   len(list_filter(failed, lambda x: instr(filter_order, x) < step)) > 0 AS gone
+            FROM fails f, steps),
+        found AS (
+            SELECT part, filter_order, step,
+                   coalesce(sum(n) FILTER (NOT here AND NOT gone), 0)::BIGINT AS kept,
+                   coalesce(sum(n) FILTER (here AND NOT gone), 0)::BIGINT AS removed,
+                   coalesce(sum(n) FILTER (here AND gone), 0)::BIGINT AS redundant,
+                   coalesce(sum(n) FILTER (here AND len(failed) = 1), 0)::BIGINT AS unique_fails,
+                   coalesce(sum(n) FILTER (here AND NOT gone AND good), 0)::BIGINT AS good_lost,
+                   coalesce(sum(n) FILTER (here AND NOT gone AND toxic), 0)::BIGINT AS toxic_lost
+            FROM placed GROUP BY ALL)
+        SELECT *, sum(removed) OVER (PARTITION BY part, filter_order[step])::BIGINT AS shapley FROM found""",
 }
