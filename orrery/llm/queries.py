@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, bpe, counts, exact, language, lines, mixing, pieces, pii, quartile, simhash, urls
+from . import audit, bpe, counts, exact, language, lines, mixing, pieces, pii, quartile, repair, simhash, urls
 
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
@@ -66,6 +66,11 @@ def op10_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = repair.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return repair.summaries(rows, dropped="dropped").drop("made")
+
+
 def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -81,7 +86,7 @@ def op13_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_bpe, op2_mixing, op3_simhash, op4_urls, op5_counts, op6_pii, op7_quartile, op8_lines, op9_language, op10_exact, op12_pieces, op13_audit)
+    for f in (op1_bpe, op2_mixing, op3_simhash, op4_urls, op5_counts, op6_pii, op7_quartile, op8_lines, op9_language, op10_exact, op11_repair, op12_pieces, op13_audit)
 }
 
 ORACLE_SQL = {
