@@ -8,6 +8,7 @@ symbols, and the table is joined to the chunks of every text by position.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 import uuid
@@ -138,19 +139,26 @@ def marked(text: str) -> str:
     return SPACE + text.replace(" ", SPACE) if text else ""
 
 
+class Known(dict):
+    """The table of distinct chunks; what it lacks is segmented once while it is remembered, apart from the table."""
+
+    def __init__(self, table: dict[str, tuple[int, ...]], segment: Callable[[str], tuple[int, ...]], memo: int):
+        super().__init__(table)
+        self.rest = TwoGenerations(segment, memo, REMEMBERED)
+
+    def __missing__(self, chunk: str) -> tuple[int, ...]:
+        return self.rest[chunk]
+
+
 class Encoder:
-    """Looks each chunk up in the table of distinct ones; those that it lacks are segmented once while they are remembered."""
+    """Cuts texts into chunks and puts in each one's place the ids that the table has for it."""
 
     def __init__(self, segmenter: Segmenter, table: dict[str, tuple[int, ...]], memo: int = 250_000):
-        self.chunks, self.segment, self.table = segmenter.chunks, segmenter.segment, table
-        self.memo = TwoGenerations(self._of, memo, REMEMBERED)
-
-    def _of(self, chunk: str) -> tuple[int, ...]:
-        return self.table.get(chunk) or self.segment(chunk)
+        self.chunks, self.known = segmenter.chunks, Known(table, segmenter.segment, memo)
 
     def encode(self, text: str) -> list[int]:
-        found = list(chain.from_iterable(map(self.memo.__getitem__, self.chunks(marked(text)))))
-        self.memo.trim()
+        found = list(chain.from_iterable(map(self.known.__getitem__, self.chunks(marked(text)))))
+        self.known.rest.trim()
         return found
 
 
@@ -221,6 +229,7 @@ def _encoder(key: str, model_key: str, model: PieceModel, table: dict[str, tuple
     if key not in _encoders:
         _encoders.clear()
         _encoders[key] = Encoder(segmenter(model_key, model), table)
+        gc.freeze()  # the table stays as long as the worker; collections pass it over
     return _encoders[key]
 
 
@@ -332,7 +341,7 @@ def encode(
     def start() -> Callable[[str], tuple]:
         model, table = sent.value
         encoder = _encoder(key, model_key, model, table)
-        release(encoder.memo)
+        release(encoder.known.rest)
         decoder, decimal = Decoder(model), [str(i) for i in range(len(model.surfaces))]
 
         def row(value: str) -> tuple:
