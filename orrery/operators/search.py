@@ -1,23 +1,18 @@
-"""Search as the catalogue answers it: a narrowed ranking over two tables, its page, a budgeted scan, and an index of lists."""
+"""Search as the catalogue answers it: a narrowed ranking over two tables, its page, and a budgeted scan."""
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import columns as C
 from orrery.model import Narrowing, check_depth, cut_short, rows_needed
 from orrery.operators import assets as A
 from orrery.operators import ranking as R
-
-#: Vectors that the centres of an index are fitted on, at most; every vector is indexed.
-SAMPLE = 100_000
+from orrery.operators.index import ListIndex, list_counts, probe_steps  # noqa: F401  the index is part of search
 
 
 @dataclass(frozen=True)
@@ -91,22 +86,26 @@ def page(
     narrowing: Narrowing | None = None,
     exclude=None,
     budget: int | None = None,
+    index: ListIndex | None = None,
 ) -> Page:
     """One page of the ranking around ``query``.
 
     A threshold shortens a page and never refills it. With a ``budget`` a
-    narrowed scan gives up after so many vectors, as an approximate index does,
-    and ``scan_limited`` tells that more would match; without one the scan is
-    exact and it is false. The candidates, at most a thousand numbers, are read
+    narrowed scan gives up after so many vectors, and ``scan_limited`` tells
+    that more would match; without one the scan is exact and it is false. With
+    an ``index`` of the model's vectors the budget is what its walk may read;
+    without one all vectors are ranked and the budget is where the ranking is cut. The candidates, at most a thousand numbers, are read
     by the driver; two jobs, one more where a budgeted scan ran short.
     """
     check_depth(limit, offset, int(exclude is not None))
     needed = rows_needed(limit, offset)
-    if budget is None:
-        ranked = nearest(vectors, assets, query, needed, model=model, narrowing=narrowing, exclude=exclude)
+    if budget is not None and index is not None:
+        narrowed = assets.where(narrowing.condition()).select("id") if narrowing else None
+        candidates = index.walk(query, needed, budget=budget, narrowed=narrowed, exclude=exclude).found
+    elif budget is not None:
+        candidates = [(r.id, r.distance) for r in budgeted(vectors, assets, query, needed, model=model, narrowing=narrowing, budget=budget, exclude=exclude).collect()]
     else:
-        ranked = budgeted(vectors, assets, query, needed, model=model, narrowing=narrowing, budget=budget, exclude=exclude)
-    candidates = [(r.id, r.distance) for r in ranked.collect()]
+        candidates = [(r.id, r.distance) for r in nearest(vectors, assets, query, needed, model=model, narrowing=narrowing, exclude=exclude).collect()]
     window = candidates[offset : offset + limit + 1]
     if min_score is not None:
         window = [c for c in window if c[1] <= 1 - min_score]
@@ -152,84 +151,7 @@ def plan_of(ranked: DataFrame) -> str:
     return "exact" if not semi or all(c < semi[0] for c in cut) else "post-filter"
 
 
-# --- an index of lists ------------------------------------------------------------
-
-
-def list_counts(rows: int) -> tuple[int, int]:
-    """The usual numbers of lists for a table: one for a thousand rows, and the finer square root."""
-    return max(1, rows // 1000), max(1, round(math.sqrt(rows)))
-
-
-def probe_steps(lists: int, curve: Sequence[int] = (1, 2, 5, 10, 20)) -> list[int]:
-    return sorted({step for step in curve if step <= lists} | {max(1, round(math.sqrt(lists)))})
-
-
-def _units(values: np.ndarray) -> np.ndarray:
-    norms = np.linalg.norm(values, axis=1, keepdims=True)
-    return values / np.where(norms == 0, 1, norms)
-
-
-def centres(vectors: DataFrame, lists: int, *, seed: int = 7, rounds: int = 12, sample: int = SAMPLE) -> np.ndarray:
-    """Unit centres of the lists, fitted by k-means on at most ``sample`` vectors with the lowest seeded hash of their id."""
-    drawn = vectors.where("vector is not null").orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample).select("vector").toPandas()
-    points = _units(np.array(drawn["vector"].tolist(), np.float64))
-    draw = np.random.default_rng(seed)
-    found = points[draw.choice(len(points), min(lists, len(points)), replace=False)]
-    for _ in range(rounds):
-        near = np.argmax(points @ found.T, axis=1)
-        sums = np.zeros_like(found)
-        np.add.at(sums, near, points)
-        full = np.bincount(near, minlength=len(found)) > 0
-        found = np.where(full[:, None], _units(sums), found)
-    return found
-
-
-class ListIndex:
-    """Vectors dealt to the list of their nearest centre, one folder a list, so that a probe reads only its lists."""
-
-    def __init__(self, spark: SparkSession, path: str, found: np.ndarray):
-        self.spark, self.path, self.centres = spark, path, found
-        self.table = spark.read.parquet(path)
-
-    @classmethod
-    def build(cls, vectors: DataFrame, path: str, lists: int, *, seed: int = 7) -> ListIndex:
-        """Index every row of ``vectors`` (id, vector); a list is as large as it is, and is read in splits."""
-        found = centres(vectors, lists, seed=seed)
-
-        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                block = np.array(batch.column("vector").to_pylist(), np.float64).reshape(batch.num_rows, -1)
-                near = np.argmax(block @ found.T, axis=1) if batch.num_rows else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int32))], [*batch.schema.names, "list"])
-
-        source = vectors.where("vector is not null").select("id", "vector")
-        kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields)
-        source.mapInArrow(deal, f"{kinds}, list int").write.partitionBy("list").parquet(path)
-        return cls(vectors.sparkSession, path, found)
-
-    def nearest(self, query: Sequence[float], limit: int, *, probes: int, exclude=None) -> DataFrame:
-        """The ``limit`` nearest (id, distance) of the ``probes`` lists whose centres are nearest."""
-        order = np.argsort(-(self.centres @ np.array(query, np.float64)), kind="stable")[:probes]
-        return R.nearest(self.table.where(F.col("list").isin(*map(int, order))), list(query), limit, exclude=exclude)
-
-    def nearest_to_each(self, queries: DataFrame, k: int, *, probes: int) -> DataFrame:
-        """For each of ``queries`` the ``k`` nearest of its probed lists; queries meet vectors by list, so each pair is made once."""
-        found = self.centres
-
-        def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                block = np.array(batch.column("vector").to_pylist(), np.float64).reshape(batch.num_rows, -1)
-                order = np.argsort(-(block @ found.T), axis=1, kind="stable")[:, :probes] if batch.num_rows else np.zeros((0, probes), np.int64)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(order.astype(np.int32)), pa.list_(pa.int32()))], [*batch.schema.names, "lists"])
-
-        kind = queries.schema["id"].dataType.simpleString()
-        vector = queries.schema["vector"].dataType.simpleString()
-        asked = queries.where("vector is not null").select(F.col("id").alias("query_id"), F.col("vector").alias("wanted"))
-        asked = asked.toDF("id", "vector").mapInArrow(choose, f"id {kind}, vector {vector}, lists array<int>").select(F.col("id").alias("query_id"), F.col("vector").alias("wanted"), F.explode("lists").alias("list"))
-        pairs = self.table.join(asked, "list").where("id != query_id")
-        scored = pairs.select("query_id", "id", F.round(C.cosine_distance(F.col("vector"), F.col("wanted")), 12).alias("distance")).where("distance is not null")
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
-        return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+# --- what an index read ---
 
 
 def lists_read(ranked: DataFrame) -> str | None:
@@ -245,7 +167,3 @@ def guard_exact(ranked: DataFrame) -> DataFrame:
     if lists_read(ranked) and "list" in lists_read(ranked):
         raise ValueError("the truth must not come from an index")
     return ranked
-
-
-def score_column(distance: Column) -> Column:
-    return C.score(distance)

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from orrery.model import Narrowing
+from orrery.operators import graph as G
+from orrery.operators import measures as M
+from orrery.operators import ranking as R
 from orrery.operators import search as S
 from orrery.plans import fixtures as X
 from orrery.scratch import Scratch
@@ -97,9 +100,6 @@ def list_index(spark, sf):
 
 def list_index_recall(spark, sf):
     """Recall of the index at each number of probes; every row whose id is divisible by 100 is a query, against all rows."""
-    from orrery.operators import measures as M
-    from orrery.operators import ranking as R
-
     vectors = X.read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     lists = S.list_counts(vectors.count())[1]
     index = S.ListIndex.build(vectors, Scratch(spark, "index").path("lists"), lists)
@@ -114,9 +114,56 @@ def list_index_recall(spark, sf):
     return out
 
 
+def _index(spark, sf):
+    vectors = X.read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return S.ListIndex.build(vectors, Scratch(spark, "index").path("lists"), S.list_counts(vectors.count())[1])
+
+
+def walked_scan(spark, sf):
+    """The narrowed search by a walk of the index's lists that stops when its rows are certain."""
+    _, a, q = _args(spark, sf)
+    index = _index(spark, sf)
+    found = index.walk(q, 21, budget=index.table.count(), narrowed=a.where(RARE.condition()))
+    return _rounded(spark.createDataFrame(found.found, "id long, distance double"))
+
+
+def walked_page(spark, sf):
+    """A page by the index's walk under a budget that suffices."""
+    v, a, q = _args(spark, sf)
+    index = _index(spark, sf)
+    found = S.page(v, a, X.jobs(spark, sf), q, model=X.CLIP, limit=10, narrowing=RARE, exclude=0, budget=index.table.count(), index=index)
+    return found.items.select("place", "id", F.round("score", 9).alias("score"), F.lit(found.has_more).alias("has_more"), F.lit(found.scan_limited).alias("scan_limited"))
+
+
+def _graph(spark, sf):
+    vectors = X.read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return vectors, G.GraphIndex.build(vectors, Scratch(spark, "graph").path("graph"), S.list_counts(vectors.count())[1])
+
+
+def graph_index(spark, sf):
+    """A beam as wide as the table: the graph gives the exact answer."""
+    vectors, graph = _graph(spark, sf)
+    return _rounded(graph.nearest(X.query(spark, sf), 21, effort=vectors.count()))
+
+
+def graph_recall(spark, sf):
+    """Recall of the graph at several efforts, and the distances computed; every row whose id is divisible by 100 is a query, against all rows."""
+    vectors, graph = _graph(spark, sf)
+    queries = vectors.where("id % 100 = 0")
+    scratch = Scratch(spark, "recall")
+    truth = scratch.table(S.guard_exact(R.nearest_to_each(vectors, queries, 10)).select("query_id", "id"), "truth")
+    out = None
+    for effort in (10, 40, 160):
+        found = scratch.table(graph.nearest_to_each(queries, 10, effort=effort), f"effort-{effort}")
+        row = M.mean_and_worst(M.recall(found, truth)).crossJoin(found.agg(F.avg("scored").alias("scored")))
+        row = row.select(F.lit(effort).alias("effort"), F.round("mean", 9).alias("mean"), F.round("worst", 9).alias("worst"), F.round("scored", 3).alias("scored"))
+        out = row if out is None else out.unionAll(row)
+    return out
+
+
 QUERIES = {
     f.__name__: f
-    for f in (model_scan, vector_lookup, narrowed_search, narrowed_all, reachable, search_page, search_envelope, budgeted_scan, post_filtered, scan_limited, enriched, list_index, list_index_recall)
+    for f in (walked_scan, walked_page, graph_index, graph_recall, model_scan, vector_lookup, narrowed_search, narrowed_all, reachable, search_page, search_envelope, budgeted_scan, post_filtered, scan_limited, enriched, list_index, list_index_recall)
 }
 
 _CLIP = X.ranked(X.CLIP)
@@ -128,6 +175,10 @@ def _budget(n: int) -> str:
 
 
 ORACLE_SQL = {
+    "walked_scan": f"SELECT id, round(d, 9) AS distance FROM {_CLIP} WHERE id IN ({_RARE}) ORDER BY d, id LIMIT 21",
+    "walked_page": f"""WITH c AS (SELECT id, d, (row_number() OVER (ORDER BY d, id) - 1)::INTEGER AS place FROM {_CLIP} WHERE id <> 0 AND id IN ({_RARE}))
+        SELECT place, id, round(1 - d, 9) AS score, (SELECT count(*) > 10 FROM c) AS has_more, false AS scan_limited FROM c WHERE place < 10""",
+    "graph_index": f"SELECT id, round(d, 9) AS distance FROM {_CLIP} ORDER BY d, id LIMIT 21",
     "model_scan": f"SELECT asset_id, len(vector)::INTEGER AS width FROM {X.VECTORS} WHERE model = '{X.DINO}'",
     "vector_lookup": f"SELECT asset_id, model, round(vector[1]::DOUBLE, 6) AS first FROM {X.VECTORS} WHERE model = '{X.CLIP}' AND asset_id = 7",
     "narrowed_search": f"SELECT id, round(d, 9) AS distance FROM {_CLIP} WHERE id IN ({_RARE}) ORDER BY d, id LIMIT 21",
