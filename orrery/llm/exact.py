@@ -15,11 +15,15 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, fresh, keyed
 
-#: The keyed state lives on disk, with checkpoints in the shared folder; small partitions take no space ahead.
+#: The keyed state lives on disk, with checkpoints in the shared folder; small partitions take no space ahead, and an
+#: executor's stores share a bounded memory however many partitions it has.
 STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
 }
 
 
