@@ -33,7 +33,7 @@ REMEMBERED = 32
 #: Distinct chunks that a counting task holds before it hands them on.
 HELD = 400_000
 #: What the table of chunks may take when it is broadcast.
-TABLE_BYTES = 32 << 20
+TABLE_BYTES = 64 << 20
 UNKNOWN = " ⁇ "
 
 
@@ -224,11 +224,11 @@ def segmenter(key: str, model: PieceModel) -> Segmenter:
     return _segmenters[key]
 
 
-def _encoder(key: str, model_key: str, model: PieceModel, table: dict[str, tuple[int, ...]]) -> Encoder:
+def _encoder(key: str, model_key: str, model: PieceModel, table: pa.Table) -> Encoder:
     """One per process and table; the last one only, since tables of other documents are of no more use."""
     if key not in _encoders:
         _encoders.clear()
-        _encoders[key] = Encoder(segmenter(model_key, model), table)
+        _encoders[key] = Encoder(segmenter(model_key, model), looked_up(table, len(model.surfaces)))
         gc.freeze()  # the table stays as long as the worker; collections pass it over
     return _encoders[key]
 
@@ -269,8 +269,8 @@ def distinct_chunks(docs: DataFrame, model: PieceModel, *, text: str = "text") -
     return counted.groupBy("chunk").agg(F.sum("n").alias("n"))
 
 
-def chunk_table(docs: DataFrame, model: PieceModel, *, text: str = "text", most: int = TABLE_BYTES, scratch: Scratch | None = None) -> dict[str, tuple[int, ...]]:
-    """Distinct chunks that occur more than once with their ids, each segmented once, as many as fit in ``most`` bytes.
+def chunk_table(docs: DataFrame, model: PieceModel, *, text: str = "text", most: int = TABLE_BYTES, scratch: Scratch | None = None) -> pa.Table:
+    """Distinct chunks that occur more than once with their ids (chunk, ids), each segmented once, as many as fit in ``most`` bytes.
 
     The more frequent ones come first, by powers of two of their counts, so
     what is left out is rare. An id stands for a byte at least, so the bound
@@ -289,7 +289,7 @@ def chunk_table(docs: DataFrame, model: PieceModel, *, text: str = "text", most:
             break
         least = row.level
     if least is None:
-        return {}
+        return pa.table({"chunk": pa.array([], pa.string()), "ids": pa.array([], pa.list_(pa.int32()))})
     sent, key = spark.sparkContext.broadcast(model), model.key
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,8 +299,16 @@ def chunk_table(docs: DataFrame, model: PieceModel, *, text: str = "text", most:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["chunk", "ids"])
 
     frequent = repeated.where(F.floor(F.log2("n")) >= least).select("chunk")
-    rows = frequent.mapInArrow(run, "chunk string, ids array<int>").toArrow()
-    return dict(zip(rows["chunk"].to_pylist(), map(tuple, rows["ids"].to_pylist()), strict=True))
+    return frequent.mapInArrow(run, "chunk string, ids array<int>").toArrow()
+
+
+def looked_up(table: pa.Table, ids: int) -> dict[str, tuple[int, ...]]:
+    """A table of chunks as a task looks them up; equal ids, of which there are ``ids``, share one object."""
+    own, found = list(range(ids)), {}
+    for batch in table.to_batches(max_chunksize=20_000):
+        lists = ([own[i] for i in one] for one in batch.column(1).to_pylist())
+        found.update(zip(batch.column(0).to_pylist(), map(tuple, lists), strict=True))
+    return found
 
 
 def encode(

@@ -61,7 +61,7 @@ def test_each_repeated_chunk_is_in_the_table_once_and_right(spark, library):
     docs = spark.createDataFrame([("the cat the dog",), ("the the cat, and so on\n",), (None,)], "text string")
     counted = {r.chunk: r.n for r in pieces.distinct_chunks(docs, model).collect()}
     assert counted["▁the"] == 4 and counted["▁cat"] == 2 and counted["▁dog"] == 1 and sum(counted.values()) == 12
-    table = pieces.chunk_table(docs, model)
+    table = pieces.looked_up(pieces.chunk_table(docs, model), len(model.surfaces))
     assert set(table) == {"▁the", "▁cat"}
     assert list(table["▁the"]) == library.encode("the")
 
