@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import partial
-from itertools import combinations, islice
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -476,18 +476,27 @@ def _left_open(prints: np.ndarray, side: np.ndarray | None, known: list[tuple[by
 
     Each print outside the largest group joined so far gives the first ``most``
     of its pairs, with prints of the other side only where sides are given.
+    While they are sought, pairs are held as one number each.
     """
     n = len(prints)
-    place = {row.tobytes(): i for i, row in enumerate(prints)}
-    label, judged = np.arange(n), set()
-    for a, b, good in known:
-        a, b = place[a], place[b]
-        judged.add((min(a, b), max(a, b)))
-        if good and label[a] != label[b]:
-            label[label == label[b]] = label[a]
-    names, counts = np.unique(label, return_counts=True)
-    asked = np.flatnonzero(label != names[counts.argmax()])
-    planes, found = _lanes(prints), set()
+    names = [row.tobytes() for row in prints]
+    place = {name: i for i, name in enumerate(names)}
+    told = np.array([(place[a], place[b], good) for a, b, good in known], np.int64).reshape(-1, 3)
+    parent = list(range(n))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for a, b, good in told.tolist():
+        if good and (a := root(a)) != (b := root(b)):
+            parent[b] = a
+    label = np.array([root(i) for i in range(n)])
+    judged = np.unique(told[:, :2].min(axis=1) * n + told[:, :2].max(axis=1))
+    asked = np.flatnonzero(label != np.bincount(label).argmax())
+    planes, found = _lanes(prints), []
     words = planes.shape[1]
     for at in range(0, len(asked), QUERIES):
         queries = asked[at : at + QUERIES]
@@ -497,9 +506,10 @@ def _left_open(prints: np.ndarray, side: np.ndarray | None, known: list[tuple[by
             places = places[label[places] != label[q]]
             if side is not None:
                 places = places[side[places] != side[q]]
-            pairs = ((min(q, p), max(q, p)) for p in places.tolist())
-            found.update(islice((pair for pair in pairs if pair not in judged), most))
-    return [(prints[a].tobytes(), prints[b].tobytes()) for a, b in sorted(found)]
+            codes = np.minimum(places, q) * n + np.maximum(places, q)
+            found.append(np.setdiff1d(codes, judged, assume_unique=True)[:most])
+    codes = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+    return [(names[code // n], names[code % n]) for code in codes.tolist()]
 
 
 def similar(
@@ -513,7 +523,7 @@ def similar(
     :func:`radius_for` bits apart, compared where two texts share one of
     ``KEYS`` keys of the least hashes of their shingles (at 0.8 all but 6 in
     10,000 do), and the sets of each are compared in full: no texts less
-    similar link. Texts of one fingerprint count as alike. Texts without a word
+    similar link. Texts of one fingerprint of 256 bits count as alike, without a comparison. Texts without a word
     are one component; a null text is an empty one; repeated rows share a
     fingerprint; very long texts are hashed whole; an empty table gives an
     empty result.
@@ -524,7 +534,8 @@ def similar(
     near fingerprints, without those that close a circle. Where one of these
     turns out less similar, the block is asked again for pairs that are still
     open, ever more of them, until none is; so every candidate is either joined
-    or compared.
+    or compared. A text that is compared is read and hashed once; pairs are
+    joined with the sets of hashes, no text goes along with them.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -603,21 +614,29 @@ def similar(
         if edges:
             yield frame(edges)
 
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                batch = whole.slice(at, 64)
+                sets = [pa.array(shingle_set(v.as_py(), width).view(np.int64)) for v in batch.column("text")]
+                ends = np.cumsum([0, *map(len, sets)])
+                yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.concat_arrays(sets))], ["fp", "hashes"])
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, None
         for whole in batches:
             for at in range(0, whole.num_rows, 64):
                 batch = whole.slice(at, 64)
                 good = []
                 for a, one, two in zip(batch.column("a"), batch.column("one"), batch.column("two"), strict=True):
-                    if a.as_py() != last:  # sorted by the join, so a hub's set is made once
-                        last, own = a.as_py(), shingle_set(one.as_py(), width)
-                    good.append(likeness(own, shingle_set(two.as_py(), width)) >= similarity)
+                    if a.as_py() != last:  # sorted by the join, so a hub's set is read once
+                        last, own = a.as_py(), one.values.to_numpy()
+                    good.append(likeness(own, two.values.to_numpy()) >= similarity)
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(good, pa.bool_())], ["a", "b", "good"])
 
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # named, since the work in a block is no matter of its bytes
-    judged, reopened, verdicts, round_ = None, None, None, 0
+    judged, reopened, verdicts, sets, round_ = None, None, None, None, 0
     while True:
         members = (dealt if reopened is None else dealt.join(reopened, _GROUP, "left_semi")).distinct()
         members = members.withColumns({"mate": F.lit(None).cast("binary"), "good": F.lit(None).cast("boolean")})
@@ -634,13 +653,16 @@ def similar(
         pairs = edges.select("a", "b").distinct()
         pairs = scratch.table(pairs if verdicts is None else pairs.join(verdicts, ["a", "b"], "left_anti"), f"pairs-{round_}")
         wanted = pairs.select(F.col("a").alias("fp")).unionAll(pairs.select(F.col("b").alias("fp"))).distinct()
-        chosen = prints.select("fp", "row").join(wanted, "fp").groupBy("fp").agg(F.min("row").alias("row"))
-        texts = scratch.table(source.select("row", "text").join(chosen, "row").select("fp", "text"), f"texts-{round_}")
-        # The greater of a pair is seldom a hub, so its text goes along; the lesser's is joined last and read where it lies.
-        both = pairs.join(texts.toDF("b", "two"), "b").join(texts.toDF("a", "one"), "a").select("a", "b", "one", "two")
+        wanted = wanted if sets is None else wanted.join(sets.select("fp"), "fp", "left_anti")
+        chosen = scratch.table(prints.select("fp", "row").join(wanted, "fp").groupBy("fp").agg(F.min("row").alias("row")), f"chosen-{round_}")
+        if sets is None or not chosen.isEmpty():  # a text is read and hashed in the first round that asks for it, once
+            texts = source.select("row", "text").join(chosen, "row").select("fp", "text")
+            more = scratch.table(texts.mapInArrow(hashed, "fp binary, hashes array<long>"), f"sets-{round_}")
+            sets = more if sets is None else sets.unionAll(more)
+        # The greater of a pair is seldom a hub, so its set goes along; the lesser's is joined last and read where it lies.
+        both = pairs.join(sets.toDF("b", "two"), "b").join(sets.toDF("a", "one"), "a").select("a", "b", "one", "two")
         found = scratch.table(both.mapInArrow(alike, "a binary, b binary, good boolean"), f"verdicts-{round_}")
         verdicts = found if verdicts is None else verdicts.unionAll(found)
-        scratch.drop(f"texts-{round_}")
         new = scratch.table(edges.join(verdicts, ["a", "b"]).select(*_GROUP, "a", "b", "good"), f"judged-{round_}")
         judged = new if judged is None else judged.unionAll(new)
         # A block whose first candidates are all good is joined whole; a later answer may leave some out.
