@@ -624,6 +624,7 @@ def similar(
                 yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.concat_arrays(sets))], ["fp", "hashes"])
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         last, own = None, None
         for whole in batches:
             for at in range(0, whole.num_rows, 64):
