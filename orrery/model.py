@@ -54,7 +54,7 @@ class SearchUnavailable(Refused):
     pass
 
 
-class UnknownModel(Refused, LookupError):
+class UnknownModel(SearchUnavailable, LookupError):
     pass
 
 

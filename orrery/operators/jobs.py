@@ -30,11 +30,12 @@ def state(now: Column) -> Column:
 
 
 def claim(jobs: DataFrame, *, now: Column, limit: int, lease_seconds: int = 300) -> DataFrame:
-    """The first ``limit`` due jobs by availability and id, as they are once claimed."""
+    """The first ``limit`` due jobs by availability and id, as they are once claimed: started now, under a lease, one attempt more."""
     taken = jobs.where(due(now)).orderBy("available_at", "id").limit(limit)
-    return taken.withColumns(
-        {"status": F.lit("running"), "attempts": F.col("attempts") + 1, "lease_expires_at": now + F.make_dt_interval(secs=F.lit(float(lease_seconds)))}
-    )
+    values = {"status": F.lit("running"), "attempts": F.col("attempts") + 1, "lease_expires_at": now + F.make_dt_interval(secs=F.lit(float(lease_seconds)))}
+    if "started_at" in jobs.columns:
+        values["started_at"] = now.cast(jobs.schema["started_at"].dataType)
+    return taken.withColumns(values)
 
 
 def _seconds(length: Column) -> Column:

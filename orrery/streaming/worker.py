@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import time
 from collections.abc import Callable
 
@@ -12,16 +13,38 @@ from orrery.operators import jobs as J
 from orrery.scratch import Scratch
 
 
-def loop(batch: Callable[[], int], *, stop: Callable[[], bool] = lambda: False, poll_seconds: float = 2.0, once: bool = False, wait: Callable[[float], None] = time.sleep) -> int:
-    """Run ``batch`` until told to stop: again at once while it took work, else after a pause; ``once`` ends with the work. Gives the work done."""
+class Stop:
+    """A request to stop, which also ends a pause."""
+
+    def __init__(self) -> None:
+        self._asked = threading.Event()
+
+    def ask(self) -> None:
+        self._asked.set()
+
+    def __call__(self) -> bool:
+        return self._asked.is_set()
+
+    def wait(self, seconds: float) -> bool:
+        """Pause; true, and at once, when a stop is asked for."""
+        return self._asked.wait(seconds)
+
+
+def loop(batch: Callable[[], int], *, stop: Callable[[], bool] | None = None, poll_seconds: float = 2.0, once: bool = False, wait: Callable[[float], bool | None] | None = None) -> int:
+    """Run ``batch`` until told to stop: again at once while it took work, else after a pause; ``once`` ends after one batch. Gives the work done.
+
+    A stop is asked for between batches and while pausing, never inside a
+    batch: what is claimed is finished. ``wait`` gives true where the pause
+    ended in a stop; by default it is that of ``stop``.
+    """
+    stop = stop or Stop()
+    wait = wait or getattr(stop, "wait", None) or time.sleep
     done = 0
     while not stop():
         taken = batch()
         done += taken
-        if not taken:
-            if once:
-                break
-            wait(poll_seconds)
+        if once or (not taken and wait(poll_seconds)):
+            break
     return done
 
 
