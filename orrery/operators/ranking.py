@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from itertools import chain
 
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from orrery.functions.columns import cosine_distance
+from orrery.functions.columns import dot
 from orrery.scratch import Scratch, ship
 
 #: Queries are shipped to the executors in blocks of so many values at most.
@@ -30,8 +31,11 @@ def nearest(vectors: DataFrame, query: list[float], limit: int, *, exclude=None,
         vectors = vectors.where(narrowing)
     if exclude is not None:
         vectors = vectors.where(F.col("id") != F.lit(exclude))
-    wanted = F.array(*[F.lit(float(x)) for x in query])
-    ranked = vectors.select("id", cosine_distance(F.col("vector"), wanted).alias("distance")).where("distance is not null")
+    length = math.sqrt(sum(float(x) ** 2 for x in query))
+    # The query's length is taken once, here; a query without a direction is near to nothing.
+    unit = F.array(*[F.lit(float(x) / length if length else None).cast("double") for x in query])
+    distance = 1 - F.try_divide(dot(F.col("vector"), unit), F.sqrt(dot(F.col("vector"), F.col("vector"))))
+    ranked = vectors.select("id", distance.alias("distance")).where("distance is not null")
     return ranked.orderBy("distance", "id").limit(limit)
 
 

@@ -24,6 +24,11 @@ def claimed(spark, sf):
     return J.claim(X.jobs(spark, sf), now=X.now(), limit=25, lease_seconds=90).select("id", "status", "attempts", "lease_expires_at")
 
 
+def claim_times(spark, sf):
+    """When claimed jobs were started, and under which lease."""
+    return J.claim(X.jobs(spark, sf), now=X.now(), limit=60, lease_seconds=90).select("id", "started_at", "lease_expires_at")
+
+
 def _results(spark, sf):
     """Results of all running jobs; half of the claims have lost their lease, and dear ones went wrong."""
     jobs = X.jobs(spark, sf).where("status = 'running'")
@@ -119,6 +124,16 @@ def retirement(spark, sf):
     return J.retirement(X.vectors(spark, sf), X.jobs(spark, sf).where("status = 'done'"), X.CLIP, X.DINO, X.now())
 
 
+def retirement_verdicts(spark, sf):
+    """Each of the four verdicts: by all jobs, by those that are done, of a covered model, of a model without vectors."""
+    vectors, all_ = X.vectors(spark, sf), X.jobs(spark, sf)
+    done, out = all_.where("status = 'done'"), None
+    for jobs, key, by in ((all_, X.CLIP, X.DINO), (done, X.CLIP, X.DINO), (done, X.DINO, X.CLIP), (done, "retired-before", X.CLIP)):
+        row = J.retirement(vectors, jobs, key, by, X.now()).withColumn("model", F.lit(key))
+        out = row if out is None else out.unionAll(row)
+    return out
+
+
 def rebuild_plan(spark, sf):
     return J.plan(X.vectors(spark, sf), X.jobs(spark, sf), model=X.DINO, answering_for=X.CLIP, now=X.now())
 
@@ -127,7 +142,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         lease_states, claimed, finished, settled, retried, reset, reset_none, failed_for_assets, enqueued, queued_missing, queued_rebuild, queued_replacing, passed_over,
-        outstanding, work_report, jobs_of_asset, vector_count, uncovered, retired, retirement, rebuild_plan,
+        outstanding, work_report, jobs_of_asset, vector_count, uncovered, retired, retirement, retirement_verdicts, rebuild_plan, claim_times,
     )
 }
 
@@ -152,7 +167,20 @@ def _queued(model: str, where: str) -> str:
 
 _OWED = f"(SELECT {_STATE} AS state, id, asset_id FROM {X.JOBS} WHERE model = '{X.DINO}' AND status IN ('pending', 'running', 'failed') AND NOT {_has(X.DINO, 'asset_id')} AND {_has(X.CLIP, 'asset_id')})"
 
+def _verdict(jobs: str, key: str, by: str) -> str:
+    return f"""SELECT '{key}' AS model, outstanding, uncovered, vectors, CASE WHEN outstanding > 0 THEN 'work outstanding' WHEN uncovered > 0 THEN 'not covered'
+            WHEN vectors = 0 THEN 'nothing to retire' ELSE 'retired' END AS verdict
+        FROM (SELECT (SELECT count(*) FROM {X.JOBS} WHERE model = '{by}' AND status IN ('pending', 'running', 'failed') AND {jobs}) AS outstanding,
+                     (SELECT count(*) FROM {X.VECTORS} WHERE model = '{key}' AND asset_id NOT IN (SELECT asset_id FROM {X.VECTORS} WHERE model = '{by}')) AS uncovered,
+                     (SELECT count(*) FROM {X.VECTORS} WHERE model = '{key}') AS vectors)"""
+
+
 ORACLE_SQL = {
+    "retirement_verdicts": " UNION ALL ".join(
+        _verdict(*case) for case in (("true", X.CLIP, X.DINO), ("status = 'done'", X.CLIP, X.DINO), ("status = 'done'", X.DINO, X.CLIP), ("status = 'done'", "retired-before", X.CLIP))
+    ),
+    "claim_times": f"""SELECT id, {_N} AS started_at, {_N} + INTERVAL 90 SECOND AS lease_expires_at FROM {X.JOBS}
+        WHERE (status = 'pending' AND available_at <= {_N}) OR (status = 'running' AND lease_expires_at < {_N}) ORDER BY available_at, id LIMIT 60""",
     "lease_states": f"SELECT {_STATE} AS state, count(*) AS n FROM {X.JOBS} GROUP BY 1",
     "claimed": f"""SELECT id, 'running' AS status, (attempts + 1)::INTEGER AS attempts, {_N} + INTERVAL 90 SECOND AS lease_expires_at FROM {X.JOBS}
         WHERE (status = 'pending' AND available_at <= {_N}) OR (status = 'running' AND lease_expires_at < {_N}) ORDER BY available_at, id LIMIT 25""",

@@ -89,20 +89,31 @@ def sidecar(raw: Column) -> Column:
     return F.pandas_udf(run, "tags array<string>, meta string, refusal string")(raw)
 
 
-def folder(spark: SparkSession, path: str, *, recursive: bool = False) -> DataFrame:
-    """Pictures (path, size_bytes, sha256) with what their sidecars say (tags, meta) and why one is refused (refusal)."""
-    files = _files(spark, path, recursive)
-    stem = F.regexp_replace("path", _SUFFIX, "")
-    pictures = files.where(_is_picture(F.col("path"))).select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"), stem.alias("stem"))
+def pictures_of(files: DataFrame) -> DataFrame:
+    """The pictures (path, size_bytes, sha256, stem) among binary files, of a batch or a stream."""
+    return files.where(_is_picture(F.col("path"))).select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"), F.regexp_replace("path", _SUFFIX, "").alias("stem"))
+
+
+def sidecars_of(files: DataFrame) -> DataFrame:
+    """What the JSON files among binary files say (stem, large, said), of a batch or a stream."""
     beside = files.where(F.col("path").endswith(".json"))
     small = F.when(F.col("length") <= SIDECAR_BYTES, F.decode("content", "UTF-8"))
-    said = beside.select(stem.alias("stem"), F.when(F.col("length") > SIDECAR_BYTES, TOO_LARGE).alias("large"), sidecar(small).alias("said"))
-    joined = pictures.join(said, "stem", "left")
+    return beside.select(F.regexp_replace("path", _SUFFIX, "").alias("stem"), F.when(F.col("length") > SIDECAR_BYTES, TOO_LARGE).alias("large"), sidecar(small).alias("said"))
+
+
+def described(joined: DataFrame) -> DataFrame:
+    """Pictures joined with their sidecars (path, size_bytes, sha256, large, said) as path, size_bytes, sha256, tags, meta, refusal."""
     tags = C.normalise_tags(F.coalesce("said.tags", F.array().cast("array<string>")))
     refusal = F.coalesce("large", "said.refusal", F.when(tags.isNull(), "tags that are none, or too many"), C.metadata_problem(F.col("said.meta")))
     return joined.select("path", "size_bytes", "sha256", tags.alias("tags"), F.col("said.meta").alias("meta"), refusal.alias("refusal"))
 
 
+def folder(spark: SparkSession, path: str, *, recursive: bool = False) -> DataFrame:
+    """Pictures (path, size_bytes, sha256) with what their sidecars say (tags, meta) and why one is refused (refusal)."""
+    files = _files(spark, path, recursive)
+    return described(pictures_of(files).join(sidecars_of(files), "stem", "left"))
+
+
 def import_folder(
     spark: SparkSession, path: str, assets: DataFrame, *, now: Column, tags: tuple[str, ...] = (), meta: str = "{}", recursive: bool = False
 ) -> tuple[DataFrame, DataFrame]:
@@ -113,8 +124,14 @@ def import_folder(
     first frame alone is a rehearsal. Of equal contents the first path is
     created and the others are duplicates, as are contents already stored.
     """
+    decided, made = imported(folder(spark, path, recursive=recursive), assets, now=now, tags=tags, meta=meta)
+    skipped = entries(spark, path, recursive=recursive).where("reason is not null")
+    return decided.unionAll(skipped.select("path", F.lit("skipped").alias("outcome"), "reason", F.lit(None).cast("string").alias("asset_id"))), made
+
+
+def imported(pictures: DataFrame, assets: DataFrame, *, now: Column, tags: tuple[str, ...] = (), meta: str = "{}") -> tuple[DataFrame, DataFrame]:
+    """What becomes of ``pictures`` as :func:`described` gives them (path, outcome, reason, asset_id), and the new assets; the rest as in :func:`import_folder`."""
     own = F.array(*map(F.lit, tags)).cast("array<string>")
-    pictures = folder(spark, path, recursive=recursive)
     joined = C.tag_union(own, F.coalesce("tags", F.array().cast("array<string>")))
     origin = F.to_json(F.struct(F.col("path").alias(ORIGIN)))
     whole = C.metadata_merge(F.lit(meta), F.col("meta"), origin)
@@ -135,8 +152,7 @@ def import_folder(
     decided = decided.select(F.col("id").alias("path"), "outcome", F.lit(None).cast("string").alias("reason"), F.coalesce("asset_id", "made_id").alias("asset_id"))
     none = F.lit(None).cast("string").alias("asset_id")
     bad = checked.where("reason is not null").select("path", F.lit("refused").alias("outcome"), "reason", none)
-    skipped = entries(spark, path, recursive=recursive).where("reason is not null").select("path", F.lit("skipped").alias("outcome"), "reason", none)
-    return decided.unionAll(bad).unionAll(skipped), made
+    return decided.unionAll(bad), made
 
 
 def manifest(spark: SparkSession, path: str, *, member: str = MEMBER, most: int = MEMBER_BYTES) -> DataFrame:
