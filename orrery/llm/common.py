@@ -10,21 +10,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.scratch import Scratch, shared_dir, ship  # noqa: F401  shared by the operators
+from orrery.scratch import Scratch, fresh, shared_dir, ship, sifted  # noqa: F401  shared by the operators
 
 #: A word everywhere in this subpackage: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_JAVA = r"[^\x20\x09-\x0D]+"
 
 
-def fresh(df: DataFrame, stem: str) -> str:
-    """``stem``, lengthened until no column of ``df`` has that name in any case."""
-    taken = {c.lower() for c in df.columns}
-    while stem.lower() in taken:
-        stem += "_"
-    return stem
-
-
 def keyed(docs: DataFrame, scratch: Scratch, *, paths: bool = False) -> tuple[DataFrame, str]:
     """``docs`` with a column that names each row for good: file and row index, the content's locator.
 
@@ -47,21 +39,6 @@ def keyed(docs: DataFrame, scratch: Scratch, *, paths: bool = False) -> tuple[Da
     return written.withColumn(name, numbered), name
 
 
-def sifted(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
-    """The rows whose ``column`` is in that column of ``wanted``, and a few others; for a join that need not deal out all rows.
-
-    A bitmap of hashes, 16 bits to a value and 16 MB at most, goes to all tasks.
-    """
-    bits = 1 << max(15, min(27, (16 * wanted.count()).bit_length()))
-    place = F.pmod(F.xxhash64(column), F.lit(bits))
-    bucket, bit = F.shiftright(place, 15), place.bitwiseAND(F.lit(32767))
-    names, held, marks = rows.columns, fresh(rows, "_bucket"), fresh(rows, "_marks")
-    marked = wanted.select(bucket.alias(held), bit.alias("bit")).groupBy(held).agg(F.bitmap_construct_agg("bit").alias(marks))
-    byte = F.conv(F.hex(F.substring(F.col(marks), (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    found = F.pmod(F.floor(byte / F.pow(F.lit(2), bit.bitwiseAND(F.lit(7)))), F.lit(2)) == 1
-    return rows.withColumn(held, bucket).join(F.broadcast(marked), held).where(found).select(*[F.col(f"`{c}`") for c in names])
-
-
 def _straight_from_files(docs: DataFrame) -> bool:
     lines = [line.lstrip(" +-:") for line in docs._jdf.queryExecution().optimizedPlan().toString().strip().split("\n")]
     return lines[-1].startswith("Relation") and all(line.startswith(("Project", "Filter", "Relation")) for line in lines)

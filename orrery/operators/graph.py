@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from orrery.functions import columns as C
 from orrery.operators import ranking as R
 from orrery.operators.index import BLOCK_ROWS, BUILD_EFFORT, NEIGHBOURS, Centres, units
-from orrery.scratch import Scratch, ship
+from orrery.scratch import Scratch, ship, sifted
 
 #: Lists that a vector is compared in when its neighbours are chosen, and coarse cells that these are taken from.
 SPREAD, CELLS = 4, 2
@@ -147,12 +147,16 @@ class GraphIndex:
         scratch.drop("placed"), scratch.drop("arcs")
         return made
 
-    def _fetch(self, wanted: DataFrame) -> DataFrame:
-        """Of ``wanted`` (query_id, list, id; written) the nodes with their distance from the query; only their lists are read."""
+    def _met(self, wanted: DataFrame, column: str) -> DataFrame:
+        """Each of ``wanted`` (list, id, ...; written) with its node's ``column``; only its lists are read, and few other nodes are dealt out."""
         lists = [r.list for r in wanted.select("list").distinct().limit(257).collect()]
         nodes = self.nodes.where(F.col("list").isin(*lists)) if len(lists) <= 256 else self.nodes
-        met = wanted.join(nodes, ["list", "id"])
-        return met.select("query_id", "wanted", "id", "list", "neighbours", F.round(C.cosine_distance(F.col("vector"), F.col("wanted")), 12).alias("distance"))
+        return wanted.join(sifted(nodes.select("list", "id", column), "id", wanted.select("id")), ["list", "id"])
+
+    def _scored(self, wanted: DataFrame, asked: DataFrame) -> DataFrame:
+        """The nodes of ``wanted`` (query_id, list, id) with their distance from the query, whose vector goes to the nodes."""
+        met = self._met(wanted, "vector").withColumnRenamed("vector", "found").join(asked, "query_id")
+        return met.select("query_id", "id", "list", F.round(C.cosine_distance(F.col("found"), F.col("wanted")), 12).alias("distance"))
 
     def nearest_to_each(self, queries: DataFrame, k: int, *, effort: int, exclude_self: bool = True, entries: int = ENTRIES) -> DataFrame:
         """For each of ``queries`` (id, vector) the ``k`` nearest that a beam of ``effort`` finds: query_id, id, distance, rank, scored.
@@ -163,18 +167,20 @@ class GraphIndex:
         the search ends when all of a beam have been asked. ``scored`` is the
         number of distances that were computed for a query in the lower layer.
         A beam has room for ``k`` rows and the query itself at least. Zero and null queries find nothing. All queries go in one run; a round's
-        beams, ``effort`` rows a query, are written to the shared folder.
+        beams, ``effort`` rows a query, are written to the shared folder. They hold names and distances only: a query's
+        vector meets a node's for their distance, and neighbours are taken of the nodes that stay in a beam.
         """
         spark, scratch = self.spark, Scratch(self.spark, "beam")
         effort = max(effort, k + int(exclude_self))
         asked = queries.select(F.col("id").alias("query_id"), F.col("vector").alias("wanted")).where("query_id is not null and wanted is not null")
+        asked = scratch.table(asked, "asked")
         start = R.nearest_to_each(self.heads.select("id", "vector"), queries, entries, exclude_self=False).select("query_id", "id")
-        start = start.join(self.heads.select("id", "list"), "id").join(asked, "query_id")
-        fresh = scratch.table(start.select("query_id", "wanted", "list", "id"), "wanted-0")
+        start = start.join(self.heads.select("id", "list"), "id").join(asked.select("query_id"), "query_id", "left_semi")
+        fresh = scratch.table(start.select("query_id", "list", "id"), "wanted-0")
         best = Window.partitionBy("query_id").orderBy("distance", "id")
         beam, turn = None, 0
         while not fresh.isEmpty():
-            met = self._fetch(fresh).where("distance is not null").withColumns({"done": F.lit(False), "scored": F.lit(1).cast("long")})
+            met = self._scored(fresh, asked).where("distance is not null").withColumns({"done": F.lit(False), "scored": F.lit(1).cast("long")})
             if beam is not None:
                 met = beam.withColumn("done", F.lit(True)).unionByName(met)
             total = F.sum("scored").over(Window.partitionBy("query_id"))
@@ -184,9 +190,10 @@ class GraphIndex:
             met = met.withColumn("scored", F.when(F.col("place") == 1, F.col("total")).otherwise(F.lit(0)).cast("long")).drop("total", "place")
             beam = scratch.table(met, f"beam-{turn}")
             turn += 1
-            steps = beam.where("not done").select("query_id", "wanted", F.explode("neighbours").alias("to")).select("query_id", "wanted", F.col("to.list").alias("list"), F.col("to.id").alias("id"))
+            steps = self._met(beam.where("not done").select("query_id", "list", "id"), "neighbours").select("query_id", F.explode("neighbours").alias("to"))
+            steps = steps.select("query_id", F.col("to.list").alias("list"), F.col("to.id").alias("id"))
             steps = steps.dropDuplicates(["query_id", "id"])
-            fresh = scratch.table(steps.join(beam.select("query_id", "id"), ["query_id", "id"], "left_anti").select("query_id", "wanted", "list", "id"), f"wanted-{turn}")
+            fresh = scratch.table(steps.join(beam.select("query_id", "id"), ["query_id", "id"], "left_anti").select("query_id", "list", "id"), f"wanted-{turn}")
         if beam is None:
             kinds = f"query_id {queries.schema['id'].dataType.simpleString()}, id {self.nodes.schema['id'].dataType.simpleString()}, distance double, rank int, scored long"
             return spark.createDataFrame([], kinds)

@@ -144,6 +144,18 @@ def test_the_graphs_recall_grows_with_the_effort(spark, stored, graph):
     assert scored == sorted(scored) and scored[1] < 1000
 
 
+def test_a_search_writes_no_vectors_and_no_neighbours_of_nodes_it_leaves(spark, stored, graph, monkeypatch):
+    written, write = {}, Scratch.table
+
+    def table(self, df, name):
+        written[name.split("-")[0]] = set(df.columns)
+        return write(self, df, name)
+
+    monkeypatch.setattr(Scratch, "table", table)
+    assert graph.nearest_to_each(stored.where("id % 500 = 0"), 5, effort=8).count() == 20
+    assert written["beam"] == {"query_id", "id", "list", "distance", "done", "scored"} and written["wanted"] == {"query_id", "list", "id"}
+
+
 def test_a_graph_over_copies_nulls_and_strings(spark):
     draw = random.Random(6)
     rows = [(f"n{i:03}", [1.0, 0.0, 0.0] if i % 3 else [draw.gauss(0, 1) for _ in range(3)]) for i in range(300)]
