@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm import bpe, exact, language, mixing, simhash
-from orrery.llm.common import Scratch, fresh
+from orrery.llm.common import Scratch, fresh, small_batches
 
 #: A document whose best language has less than this mean probability is rejected.
 LEAST_SCORE = 0.4
@@ -19,6 +19,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     are read whole, columns of any name stay as they are; an empty table, or one
     without a label to learn from, gives an empty one.
     """
+    small_batches(spark)
     names = fresh(docs, "lang_pred"), fresh(docs, "score")
     found = language.identify(docs, names=names)
     return found.where((F.col(names[0]) != language.NONE) & (F.col(names[1]) >= LEAST_SCORE)).select(*[F.col(f"`{c}`") for c in docs.columns])
@@ -31,6 +32,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts whose sets of five-word shingles have a similarity of 0.8 or more, one; the rest as in :func:`simhash.similar`."""
+    small_batches(spark)
     return simhash.one_of_each(docs, width=5, similarity=0.8)
 
 
@@ -43,6 +45,7 @@ def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Token ids of every document, and digests of them and of the bytes they decode to; a null text has no ids, the rest as in :func:`bpe.encode`."""
     import public_tokenizers
 
+    small_batches(spark)
     narrow = docs.select("doc_id", "source", "text")
     found = bpe.encode(narrow, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, digests=True)
     return found.select("doc_id", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256")

@@ -10,7 +10,7 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -189,11 +189,11 @@ def vocabulary(ranks: str) -> Vocabulary:
     return _vocabularies[ranks]
 
 
-def encoder(found: Vocabulary, pattern: str) -> ByteBpe:
-    """One encoder per process and vocabulary; a Python worker keeps it between tasks."""
-    at = found.key, pattern
+def encoder(key: str, read: Callable[[], Vocabulary], pattern: str) -> ByteBpe:
+    """One encoder per process and vocabulary; a Python worker keeps it between tasks, and does not ``read`` its vocabulary a second time."""
+    at = key, pattern
     if at not in _encoders:
-        _encoders[at] = ByteBpe(found, pattern)
+        _encoders[at] = ByteBpe(read(), pattern)
         gc.freeze()  # the tables stay as long as the worker; collections pass them over
     return _encoders[at]
 
@@ -220,7 +220,8 @@ def encode(
     """
     spark = docs.sparkSession
     ship(spark)
-    sent = spark.sparkContext.broadcast(vocabulary(ranks))
+    found = vocabulary(ranks)
+    sent, key = spark.sparkContext.broadcast(found), found.key
     added = [pa.field("n_tokens", pa.int64())]
     ddl: list[tuple[str, DataType]] = [("n_tokens", LongType())]
     if with_ids:
@@ -234,7 +235,7 @@ def encode(
     source = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(kept)], F.col(f"`{text}`").alias("whole"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(sent.value, pattern)
+        bpe = encoder(key, lambda: sent.value, pattern)
         release(bpe.memo)
         for whole in batches:
             for at in range(0, whole.num_rows, 512):

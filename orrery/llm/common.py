@@ -7,7 +7,7 @@ import weakref
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.scratch import Scratch, fresh, shared_dir, ship, sifted  # noqa: F401  shared by the operators
@@ -44,6 +44,16 @@ def _straight_from_files(docs: DataFrame) -> bool:
     return lines[-1].startswith("Relation") and all(line.startswith(("Project", "Filter", "Relation")) for line in lines)
 
 
+#: Spark's setting for the bytes of an Arrow batch (64 MB by default), and ours. The JVM and the worker hold a batch several times over in each task.
+BATCH_SETTING, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches to Python hold ``BATCH`` bytes, unless the session has a bound of its own; each holds one row at least."""
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, BATCH)
+
+
 _memos: list[weakref.ref] = []
 
 

@@ -180,6 +180,7 @@ def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: st
     found = labelled.select(name.alias("lang"), place.alias("place"), value.alias("text")).join(drawn, ["lang", "place"], "left_semi")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for whole in batches:
             for at in range(0, whole.num_rows, 64):
                 batch = whole.slice(at, 64)

@@ -2,6 +2,7 @@ import hashlib
 
 import corpus_pipeline
 import public_tokenizers
+import pyarrow as pa
 import tiktoken
 
 from orrery.llm import bpe, language
@@ -55,3 +56,19 @@ def test_run_agrees_with_its_stages_and_itself(spark):
     one, two = (sorted((r.doc_id, r.ids_sha256) for r in corpus_pipeline.run(spark, SF).collect()) for _ in range(2))
     assert one == two and len(one) > 100
     assert language.NONE not in {r.source for r in corpus_pipeline.run(spark, SF).select("source").collect()}
+
+
+def test_batches_to_python_are_small_unless_the_session_has_its_own_bound(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    def most(session, setting):
+        if setting:
+            session.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", setting)
+        docs = session.range(3000).repartition(1).selectExpr("id AS doc_id", "'a' AS source", "'en' AS lang", "repeat('word ', 2000) AS text")
+        corpus_pipeline.encoding_stage(session, docs, SF)
+        return max(r.n for r in docs.mapInArrow(sizes, "n long").collect())
+
+    assert most(spark.newSession(), "") < 6 << 20
+    assert 6 << 20 < most(spark.newSession(), "16m") < 20 << 20

@@ -93,3 +93,13 @@ def test_counts_of_odd_texts_against_the_library():
         assert mine.count(text) == len(model.encode(text)), repr(text)
     for text in ("a" * 20_000, " " * 20_000, "ab " * 20_000, "\n" * 5_000):
         assert mine.count(text) == len(model.encode(text))
+
+
+def test_a_worker_that_holds_an_encoder_reads_no_vocabulary_again():
+    found = bpe.vocabulary(RANKS)
+    mine = bpe.encoder(found.key, lambda: found, public_tokenizers.PATTERN)
+
+    def never():
+        raise AssertionError("read again")
+
+    assert bpe.encoder(found.key, never, public_tokenizers.PATTERN) is mine
